@@ -28,7 +28,7 @@ SHARE = 1.5
 MOST_PASSES = 2
 SEED = "mix"
 #: Documents per slice of the shuffle order or of virtual time, about.
-SLICE_ROWS = 5_000
+SLICE_ROWS = 500
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,12 +65,12 @@ def shuffle_key(doc_id: Column, seed: str) -> Column:
 
 def queued(sized: DataFrame, plan: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds place, and ``served``: the words of the source up to and including the document in shuffle order."""
-    slices = max(1, min(65_536, -(-sized.count() // slice_rows)))
+    slices = max(1, min(1 << 20, -(-sized.count() // slice_rows)))
     placed = (
         sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
         .select("d.*", "p.source_rank", "p.source_size", "p.target")
         .withColumn("place", shuffle_key(F.col("doc_id"), seed))
-        .withColumn("slice", F.floor(F.conv(F.substring("place", 1, 4), 16, 10).cast("long") * slices / 65_536))
+        .withColumn("slice", F.floor(F.conv(F.substring("place", 1, 7), 16, 10).cast("long") * slices / (1 << 28)))
     )
     before = Window.partitionBy("source_rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("source_rank", "slice").agg(F.sum("size").alias("n")).select("source_rank", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
