@@ -11,8 +11,9 @@ superset of the links, and a last exact test:
 3. Inside tiles, each document is first compared with the tiles' most frequent centre and with its most
    frequent neighbour in size: copies of one text are tied together by as many comparisons as documents.
 4. Documents of one component need no further comparison with each other. Tiles that still hold several
-   components are sorted by size and cut into blocks of bounded size; block against block, bit counts of the
-   signatures bound the overlap from above: at most n_x - |X and not Y| shingles of x can be in y.
+   components are cut into size bands, large ones salted; pairs of a band and the next meet if their sizes and
+   the places of the tile's shingle allow enough overlap. Of these pairs, bit counts of the signatures bound the
+   overlap from above: at most n_x - |X and not Y| shingles of x can be in y.
 5. What passes, and was not compared yet, is decided by the exact intersection of the sorted arrays.
 
 No step lists all pairs of a group, nothing is sampled or capped, and the texts that are fetched for comparisons
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,12 +45,12 @@ PERCENT = 80
 #: Counters of the order table: its size is the same for any corpus.
 COUNTERS = 1 << 20
 COUNTER_SLICES = 256
-#: Documents per block of a tile.
+#: Documents of a tile per salt.
 BLOCK = 512
 #: Signatures have about four bits a shingle, within these limits.
 FEWEST_BITS, MOST_BITS = 256, 4096
 #: Ids (8 bytes each) that may be broadcast to fetch texts without shuffling all of them.
-MAX_BROADCAST_IDS = 1_000_000
+MAX_BROADCAST_IDS = 2_000_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.uint64(COUNTERS - 1)
@@ -117,14 +119,13 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            rows = []
+            rows, sets = [], [np.empty(0, np.uint64)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingler.set_of(text)
-                counts += np.bincount((s & _MASK).astype(np.int64), minlength=COUNTERS).astype(np.uint32) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(counts, (s & _MASK).astype(np.int64), 1)
+                sets.append(s)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 rows.append((doc_id, len(s), _signed(d & (1 << 64) - 1), _signed(d >> 64)))
+            counts += np.bincount((np.concatenate(sets) & _MASK).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             yield _rows(rows)
         slices = counts.reshape(COUNTER_SLICES, -1)
         some = [k for k in range(COUNTER_SLICES) if slices[k].any()]
@@ -156,12 +157,12 @@ def counter_table(slices: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, table: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, doc_id, n, d1, d2, core): the tiles that each document is in; core: it may be the smaller of a pair there."""
+    """(key, doc_id, n, d1, d2, pos): the tiles that each document is in, and at which place of its order the tile's shingle stands."""
     sent = docs.sparkSession.sparkContext.broadcast(np.minimum(table, (1 << 24) - 1).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), sent.value
-        names = ["key", "doc_id", "n", "d1", "d2", "core"]
+        names = ["key", "doc_id", "n", "d1", "d2", "pos"]
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in names]
             held = 0
@@ -173,8 +174,7 @@ def postings(docs: DataFrame, table: np.ndarray, words: int = WORDS, percent: in
                 first = n - -(-percent * n // 100) + 1
                 order = np.argsort(counts[(s & _MASK).astype(np.int64)].astype(np.uint64) << np.uint64(40) | s >> np.uint64(24), kind="stable")[:first]
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                core = n - int(least_overlap(n, n, percent)) + 1
-                for part, x in zip(parts, (s[order].view(np.int64), np.full(first, doc_id, np.int64), np.full(first, n, np.int32), np.full(first, _signed(d & (1 << 64) - 1)), np.full(first, _signed(d >> 64)), np.arange(first) < core), strict=True):
+                for part, x in zip(parts, (s[order].view(np.int64), np.full(first, doc_id, np.int64), np.full(first, n, np.int32), np.full(first, _signed(d & (1 << 64) - 1)), np.full(first, _signed(d >> 64)), np.arange(first, dtype=np.int32)), strict=True):
                     part.append(x)
                 held += first
                 if held > 100_000:
@@ -183,58 +183,62 @@ def postings(docs: DataFrame, table: np.ndarray, words: int = WORDS, percent: in
             if held:
                 yield pa.record_batch([pa.array(np.concatenate(p)) for p in parts], names=names)
 
-    return docs.mapInArrow(run, "key long, doc_id long, n int, d1 long, d2 long, core boolean")
+    return docs.mapInArrow(run, "key long, doc_id long, n int, d1 long, d2 long, pos int")
 
 
 def shared_tiles(posted: DataFrame) -> DataFrame:
-    """Tiles in which different sets meet: (key, node, d1, n, core), one row per class of equal sets."""
+    """Tiles in which different sets meet: (key, node, d1, n, pos), one row per class of equal sets."""
     tile = Window.partitionBy("key")
     met = posted.withColumn("lo", F.min("d1").over(tile)).withColumn("hi", F.max("d1").over(tile)).where("lo <> hi")
-    return met.groupBy("key", "d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.max("core").alias("core")).select("key", "node", "d1", "n", "core")
+    return met.groupBy("key", "d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.min("pos").alias("pos")).select("key", "node", "d1", "n", "pos")
 
 
-def _size_fits(a: str, b: str, percent: int) -> str:
-    return f"100L * least({a}, {b}) >= {percent}L * greatest({a}, {b})"
+def _open(a: str, b: str, percent: int) -> str:
+    """Sizes are near enough, and if this tile is the first that two sets share, what stands behind their places is long enough."""
+    least = f"(({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent})"
+    return f"({a}.node <> {b}.node or {a}.d1 <> {b}.d1) and 100L * least({a}.n, {b}.n) >= {percent}L * greatest({a}.n, {b}.n) and {least} <= least({a}.n - {a}.pos, {b}.n - {b}.pos)"
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Each pair once, as (a, b) of (node, d1), the smaller first."""
+    a, b = (F.struct(F.col(f"{x}.node").alias("node"), F.col(f"{x}.d1").alias("d1")) for x in "ab")
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def first_pairs(tiles: DataFrame, percent: int = PERCENT) -> DataFrame:
     """At most two comparisons per document: with the centre it meets most often, and with the neighbour below it in size."""
-    me = F.struct("node", "d1", "n").alias("b")
-    centre = tiles.groupBy("key").agg(F.min(F.struct("node", "d1", "n")).alias("a"))
-    by_centre = tiles.select("key", me).join(centre, "key").select("a", "b")
-    by_size = tiles.select(F.lag(F.struct("node", "d1", "n")).over(Window.partitionBy("key").orderBy("n", "node", "d1")).alias("a"), me).where("a is not null")
+    row = F.struct("node", "d1", "n", "pos")
+    centre = tiles.groupBy("key").agg(F.min(row).alias("a"))
+    by_centre = tiles.select("key", row.alias("b")).join(centre, "key").select("a", "b")
+    by_size = tiles.select(F.lag(row).over(Window.partitionBy("key").orderBy("n", "node", "d1")).alias("a"), row.alias("b")).where("a is not null")
 
     def most_met(met: DataFrame) -> DataFrame:
-        fit = met.where(f"(a.node <> b.node or a.d1 <> b.d1) and {_size_fits('a.n', 'b.n', percent)}").groupBy("a", "b").count()
+        fit = met.where(_open("a", "b", percent)).groupBy(F.struct("a.node", "a.d1").alias("a"), F.struct("b.node", "b.d1").alias("b")).count()
         return fit.groupBy("b").agg(F.min(F.struct((-F.col("count")).alias("c"), "a")).alias("x")).select("x.a", "b")
 
-    return most_met(by_centre).union(most_met(by_size)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _pairs(most_met(by_centre).union(most_met(by_size)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): the pairs of nodes whose sorted arrays really overlap enough."""
+def open_pairs(tiles: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs of different components that meet in a tile of their size band and that sizes and places leave open.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last = Shingler(words), (None, None)
-        for batch in batches:
-            keep = []
-            a_text, b_text, a_key = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), list(zip(batch.column("a").to_pylist(), batch.column("a_d1").to_pylist(), strict=True))
-            for ta, tb, k in zip(a_text, b_text, a_key, strict=True):
-                if last[0] != k:
-                    last = (k, shingler.set_of(ta))
-                keep.append(linked(last[1], shingler.set_of(tb), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    flat = pairs.select(F.col("a.node").alias("a"), F.col("a.d1").alias("a_d1"), F.col("b.node").alias("b"), F.col("b.d1").alias("b_d1"))
-    of = lambda x: texts.select(F.col("node").alias(x), F.col("d1").alias(f"{x}_d1"), F.col("text").alias(f"{x}_text"))
-    # The side that varies goes along first; a centre of many pairs is the joined side, whose skew AQE can split.
-    both = flat.join(of("b"), ["b", "b_d1"]).join(of("a"), ["a", "a_d1"])
-    return both.select("a", "a_d1", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
-
-
-def fetched(docs: DataFrame, tiles: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, d1, text, bits) of the documents in shared tiles."""
-    nodes = stored(tiles.select("node").distinct(), "join-nodes")
+    A band spans sizes up to the factor that linked sets may differ by, so a set meets its own band and the
+    next. Within a tile one side is salted and the other repeated for each salt, by the tile's size.
+    """
+    tile = Window.partitionBy("key")
+    labelled = tiles.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    several = labelled.withColumn("lo", F.min("comp").over(tile)).withColumn("hi", F.max("comp").over(tile)).where("lo <> hi").withColumn("salts", (F.count("*").over(tile) / BLOCK).cast("int") + 1)
+    banded = stored(several.select("*", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int").alias("band")).drop("lo", "hi"), "join-banded")
+    row = F.struct("node", "d1", "n", "pos", "comp")
+    small = banded.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), row.alias("a"))
+    large = banded.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), row.alias("b"))
+    met = small.join(large, ["key", "band", "salt"]).where(f"a.comp <> b.comp and (a.n < b.n or a.n = b.n and a.node < b.node or a.n = b.n and a.node = b.node and a.d1 < b.d1) and {_open('a', 'b', percent)}")
+    return _pairs(met)
+
+
+def fetched(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, d1, text, n, bits) of the documents in the pairs."""
+    nodes = stored(pairs.select(F.explode(F.array("a.node", "b.node")).alias("node")).distinct(), "join-nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST_IDS else nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,66 +246,55 @@ def fetched(docs: DataFrame, tiles: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
             d1 = [_signed(xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1) for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array(d1, pa.int64()), batch.column(1), pa.array([signature(s) for s in sets], pa.binary())], names=["node", "d1", "text", "bits"])
+            yield pa.record_batch([batch.column(0), pa.array(d1, pa.int64()), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary())], names=["node", "d1", "text", "n", "bits"])
 
     texts = docs.join(wanted, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text")
-    return texts.mapInArrow(run, "node long, d1 long, text string, bits binary").dropDuplicates(["node", "d1"])
-
-
-def _bounded_pairs(rows: list[dict], i: int, j: int, percent: int) -> list[tuple[int, int]]:
-    """Positions of the pairs of different components that sizes, places and bit counts leave open."""
-    n = np.array([r["n"] for r in rows], np.int64)
-    comp = np.array([r["comp"] for r in rows], np.int64)
-    core = np.array([r["core"] for r in rows], bool)
-    block = np.array([r["block"] for r in rows], np.int64)
-    width = np.array([len(r["bits"]) for r in rows], np.int64)
-    widths = sorted(set(width.tolist()))
-    maps = {}
-    for w in widths:  # everything at least as wide, folded to this width
-        m = np.zeros((len(rows), w), np.uint8)
-        for k in np.flatnonzero(width >= w).tolist():
-            m[k] = np.bitwise_or.reduce(np.frombuffer(rows[k]["bits"], np.uint8).reshape(-1, w), 0)
-        maps[w] = m.view(np.uint64)
-    out = []
-    lefts = np.flatnonzero(block == i)
-    for x in lefts.tolist():
-        ys = np.flatnonzero((block == j) & (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-        if i == j:
-            ys = ys[ys > x]
-        ys = ys[np.where(n[ys] < n[x], core[ys], np.where(n[ys] > n[x], core[x], core[ys] | core[x]))]
-        for w in widths:
-            some = ys[np.minimum(width[ys], width[x]) == w]
-            if not len(some):
-                continue
-            bx, by = maps[w][x], maps[w][some]
-            only_x = np.bitwise_count(bx & ~by).sum(1, dtype=np.int64)
-            only_y = np.bitwise_count(by & ~bx).sum(1, dtype=np.int64)
-            most = np.minimum(n[x] - only_x, n[some] - only_y)
-            out += [(x, y) for y in some[most >= least_overlap(n[x], n[some], percent)].tolist()]
-    return out
-
-
-def open_pairs(tiles: DataFrame, found: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs of nodes of different components, in a common tile, that the signatures' bounds leave open."""
-    tile = Window.partitionBy("key")
-    labelled = tiles.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    several = labelled.withColumn("lo", F.min("comp").over(tile)).withColumn("hi", F.max("comp").over(tile)).where("lo <> hi")
-    ranked = several.withColumn("block", ((F.row_number().over(tile.orderBy("n", "node", "d1")) - 1) / BLOCK).cast("int")).withColumn("blocks", ((F.count("*").over(tile) - 1) / BLOCK).cast("int"))
-    signed = ranked.join(texts.select("node", "d1", "bits"), ["node", "d1"])
-    other = signed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
-    blocks = other.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("node", "d1", "n", "core", "comp", "block", "bits")).alias("rows"))
+    known = stored(texts.mapInArrow(run, "node long, d1 long, text string, n int, bits binary"), "join-texts")
+    repeated = known.groupBy("node", "d1").count().where("count > 1")
+    return known if repeated.isEmpty() else stored(known.dropDuplicates(["node", "d1"]), "join-texts")
+
+
+def within_bounds(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose signatures allow enough overlap: at most n_x - |X and not Y| shingles of x are in y, and the same the other way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                i, j = one.column(0)[0].as_py(), one.column(1)[0].as_py()
-                rows = sorted(one.column(2)[0].as_py(), key=lambda r: (r["n"], r["node"], r["d1"]))
-                pairs = [sorted(((rows[x]["node"], rows[x]["d1"], rows[x]["n"]), (rows[y]["node"], rows[y]["d1"], rows[y]["n"]))) for x, y in _bounded_pairs(rows, i, j, percent)]
-                if pairs:
-                    yield pa.record_batch([pa.array([dict(zip(("node", "d1", "n"), p[k], strict=True)) for p in pairs], pa.struct([("node", pa.int64()), ("d1", pa.int64()), ("n", pa.int32())])) for k in (0, 1)], names=["a", "b"])
+            keep = [may_link(*x, percent) for x in zip(*(batch.column(c).to_pylist() for c in ("a_n", "a_bits", "b_n", "b_bits")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = _with(_with(pairs, known, "a", "n", "bits"), known, "b", "n", "bits")
+    return both.select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(run, pairs.schema)
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes, percent: int = PERCENT) -> bool:
+    width = min(len(x), len(y))
+    bx, by = (np.bitwise_or.reduce(np.frombuffer(z, np.uint8).reshape(-1, width), 0).view(np.uint64) for z in (x, y))
+    most = min(n - int(np.bitwise_count(bx & ~by).sum()), m - int(np.bitwise_count(by & ~bx).sum()))
+    return most >= least_overlap(n, m, percent)
+
+
+def _with(pairs: DataFrame, known: DataFrame, side: str, *columns: str) -> DataFrame:
+    of = known.select(F.struct("node", "d1").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    return pairs.join(of, side)
+
+
+def verified(pairs: DataFrame, known: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b): nodes whose sorted arrays really overlap enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, last = Shingler(words), (None, None)
+        for batch in batches:
+            keep = []
+            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "a_text", "b_text")), strict=True):
+                if last[0] != a:
+                    last = (a, shingler.set_of(ta))
+                keep.append(linked(last[1], shingler.set_of(tb), percent))
+            found = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch([pc.struct_field(found.column(c), "node") for c in ("a", "b")], names=["a", "b"])
 
-    return blocks.select("i", "j", "rows").mapInArrow(run, "a struct<node:long,d1:long,n:int>, b struct<node:long,d1:long,n:int>").distinct()
+    # b goes along first: a centre of many pairs is mostly the smaller id, a, whose join AQE can split.
+    both = _with(_with(pairs, known, "b", "text"), known, "a", "text")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
 def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -312,14 +305,15 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     table = counter_table(both.where("k is not null").select("k", "blob"))
     rows = both.where("k is null").select("doc_id", "n", "d1", "d2")
     tiles = stored(shared_tiles(postings(texts, table, words, percent)), "join-tiles")
-    known = stored(fetched(texts, tiles, words), "join-texts")
     tried = stored(first_pairs(tiles, percent), "join-first")
-    ties = stored(verified(tried, known, words, percent), "join-ties")
+    ties = stored(verified(tried, fetched(texts, tried, words), words, percent), "join-ties")
     found = stored(components(ties, "join-stars"), "join-found")
-    left = stored(open_pairs(tiles, found, known, percent).join(tried, ["a", "b"], "left_anti"), "join-open")
-    more = stored(verified(left, known, words, percent), "join-more")
+    left = stored(open_pairs(tiles, found, percent).join(tried, ["a", "b"], "left_anti"), "join-open")
+    known = fetched(texts, left, words)
+    close = stored(within_bounds(left, known, percent), "join-close")
+    more = stored(verified(close, known, words, percent), "join-more")
     # Rows of one id with different texts, and classes of equal sets, are edges too.
-    classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))
+    classes = stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node")), "join-sets")
     member = stored(rows.where("n > 0 and doc_id is not null").join(classes, ["n", "d1", "d2"]).select("doc_id", "node").distinct(), "join-classes")
     split = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     same = member.join(split, "doc_id").select("a", F.col("node").alias("b"))
