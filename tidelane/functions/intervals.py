@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the longest fragment that a store holds.
 MAX_LENGTH = 65_535
@@ -38,7 +39,7 @@ def gc_dequantize(code: Column) -> Column:
     return (code.cast("double") / F.lit(254.0)).cast("float")
 
 
-@F.pandas_udf("short")
+@F.pandas_udf(T.ShortType())
 def gc_quantize(gc):
     """round(round(gc, 5) * 254) with Python's rounding of binary values, which built-in decimal rounding misses on some ties."""
     import pandas as pd
