@@ -27,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import crc_mod4, held_out, small_batches
+from tidelane.llm.common import crc_mod4, held_out, small_batches, stored
 
 #: Labelled rows that are learned from, about.
 MAX_TRAINING = 24_000
 MAX_LEXICON = 4_000
+#: Tokens that a worker remembers, none longer than LONG.
+MAX_SEEN = 200_000
+LONG = 40
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 
@@ -41,6 +44,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 LOOK_ALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None})
 FEATURES = ("words", "hits", "density", "distinct_hits", "best_weight", "weight_sum", "second_person", "proximity", "capitals", "capital_words", "exclamations", "punctuation", "digits", "obfuscation", "disguised", "stretched")
 
+#: What most tokens are: no weight, no mark.
+PLAIN = (0.0, False, False, False, False)
 _EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»„“”’‘…–—¿¡"
 _STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 _UPPER, _LOWER, _DIGIT, _PUNCT = (np.array([chr(b) in kind for b in range(256)]) for kind in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
@@ -52,21 +57,58 @@ def terms_of(text: str) -> set[str]:
     return words | {"^" + w[:k] for w in words for k in PREFIXES if len(w) > k}
 
 
+def stretches(text: str) -> int:
+    """How often a letter stands four times or more in a row; the pattern runs only where some sign does."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    same = codes[1:] == codes[:-1]
+    return len(_STRETCHED.findall(text)) if (same[2:] & same[1:-1] & same[:-2]).any() else 0
+
+
 class Features:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.cache: dict[str, float] = {}
+        self.heads = {e[1:4] if e.startswith("^") else e[:3] for e in lexicon}  # a word that begins otherwise has no weight
+        self.seen: dict[str, tuple] = {}
+        self.plain: set[str] = set()
 
     def weight(self, word: str) -> float:
         """The largest weight of the word and its beginnings; 0 if the lexicon has none."""
-        found = self.cache.get(word)
-        if found is None:
-            get = self.lexicon.get
-            found = max([get(word, 0.0), *(get("^" + word[:k], 0.0) for k in PREFIXES if len(word) > k)])
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
+        if word[:3] not in self.heads:
+            return 0.0
+        get = self.lexicon.get
+        return max([get(word, 0.0), *(get("^" + word[:k], 0.0) for k in PREFIXES if len(word) > k)])
+
+    def _look(self, token: str) -> tuple[float, bool, bool, bool, bool]:
+        """A token's weight, and whether it is odd, disguised, an address, in capitals."""
+        word = token.lower().strip(_EDGES)
+        capital = len(token) > 2 and token.isupper()
+        if not word or word[:3] not in self.heads and word.isalpha() and not capital and word not in SECOND_PERSON:
+            return PLAIN
+        w, odd, disguised = self.weight(word), False, False
+        if w == 0 and not word.isalpha():
+            odd = True
+            if not word.isdigit() and (plain := word.translate(LOOK_ALIKES)) != word and (w := self.weight(plain)):
+                disguised = True
+        return (w, odd, disguised, word in SECOND_PERSON, capital)
+
+    def _marked(self, tokens: set[str]) -> list[tuple[str, tuple]]:
+        """The tokens that are not plain. What was seen before is looked up; the tables are emptied when full."""
+        if len(self.plain) + len(self.seen) > MAX_SEEN:
+            self.plain.clear()
+            self.seen.clear()
+        out, new = [], []
+        for token in tokens - self.plain:
+            if (found := self.seen.get(token)) is None:
+                found = self._look(token)
+                if found is PLAIN:
+                    if len(token) <= LONG:
+                        new.append(token)
+                    continue
+                if len(token) <= LONG:
+                    self.seen[token] = found
+            out.append((token, found))
+        self.plain.update(new)
+        return out
 
     def of(self, text: str | None) -> list[float]:
         if not text or not (raw := text.split()):
@@ -74,25 +116,10 @@ class Features:
         n = len(raw)
         bytes_ = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
         upper, lower, digits, punctuation = (int(bytes_[kind].sum()) for kind in (_UPPER, _LOWER, _DIGIT, _PUNCT))
-        weights: dict[str, float] = {}
-        odd = disguised = capital = 0
-        weight, you = self.weight, SECOND_PERSON
-        address: set[str] = set()
-        for token in set(raw):
-            word = token.lower().strip(_EDGES)
-            if not word:
-                continue
-            w = weight(word)
-            if w == 0 and not word.isalpha():
-                odd += 1
-                if not word.isdigit() and (plain := word.translate(LOOK_ALIKES)) != word and (w := weight(plain)):
-                    disguised += 1
-            if w:
-                weights[token] = w
-            if word in you:
-                address.add(token)
-            if len(token) > 2 and token.isupper():
-                capital += 1
+        marked = self._marked(set(raw))
+        weights = {token: m[0] for token, m in marked if m[0]}
+        odd, disguised, capital = (sum(m[k] for _, m in marked) for k in (1, 2, 4))
+        address = {token for token, m in marked if m[3]}
         places = [k for k, x in enumerate(raw) if x in weights] if weights else []
         spoken = [k for k, x in enumerate(raw) if x in address] if address else []
         near = 0.0
@@ -106,7 +133,7 @@ class Features:
         return [
             np.log1p(n), np.log1p(len(places)), 100.0 * len(places) / n, np.log1p(len(weights)), max(weights.values(), default=0.0),
             sum(weights[raw[k]] for k in places) / n**0.5, 100.0 * len(spoken) / n, near, upper / letters, 100.0 * capital / n,
-            100.0 * (bytes_[33] + bytes_[63]) / size, 100.0 * punctuation / size, 100.0 * digits / size, 100.0 * odd / n, float(disguised), 100.0 * len(_STRETCHED.findall(text)) / n,
+            100.0 * (bytes_[33] + bytes_[63]) / size, 100.0 * punctuation / size, 100.0 * digits / size, 100.0 * odd / n, float(disguised), 100.0 * stretches(text) / n,
         ]
 
 
@@ -216,8 +243,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
         return Model({}, None, None, float(bool(n) and bool(toxic)))
     if n > max_training:
         marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < round(1e6 * max_training / n))
-    # At most max_training rows about: 12 bytes each, whatever the table's size.
+    # At most max_training marks about, of 12 bytes each, whatever the table's size. Their texts are written once and read three times.
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"), crc_mod4(F.col("doc_id")).alias("fold"))
+    rows = stored(rows, "toxicity-training")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
