@@ -142,10 +142,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     queue, limit = plan_mix(docs, weights, share, passes, seed)
     copies = _copies(queue, passes, "doc_id", "target").where(_within(limit, F.col("finish"), F.col("epoch")))
     keys = copies.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "finish", "epoch", "source_rank", "place").distinct()
-    texts = docs.withColumn("_n", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)))
-    out = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    columns = [c for c in docs.columns if c.lower() not in ("mix_finish", "mix_epoch")]
+    texts = docs.select(F.struct(*columns).alias("_row"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).alias("_n"))  # one column: no name can clash
+    out = texts.join(keys, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
     order = ["finish", "source_rank", "place", "epoch"]
-    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns, F.col("finish").alias("mix_finish"), F.col("epoch").alias("mix_epoch"))
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col("_row")[c].alias(c) for c in columns], F.col("finish").alias("mix_finish"), F.col("epoch").alias("mix_epoch"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

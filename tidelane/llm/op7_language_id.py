@@ -155,7 +155,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
 
 def speakable(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = MIN_SCORE) -> DataFrame:
     """The documents in a learned language; those without letters or like no language go."""
-    return identify(docs, prototypes).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    named = {c: c if c == "text" else f"c_{c}" for c in docs.columns}  # columns named like a result keep what they hold
+    said = identify(docs.select(*[F.col(c).alias(n) for c, n in named.items()]), prototypes)
+    return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*[F.col(n).alias(c) for c, n in named.items()])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
