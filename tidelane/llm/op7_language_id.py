@@ -17,8 +17,8 @@ smaller name; a null language or a null id is never learned from; without any le
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,12 @@ MAX_TABLE = 60_000
 #: Below this cosine a text resembles no learned language.
 MIN_SCORE = 0.05
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@cache
+def letter_table() -> np.ndarray:
+    """For each code point whether it is a letter: alphanumeric, but no decimal digit."""
+    return np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), bool, 0x110000)
 
 
 class Profiles:
@@ -75,10 +80,15 @@ class Profiles:
 
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of the text's letters with their counts; word boundaries are blanks."""
-        letters = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-        if not letters:
+        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        letter = letter_table()[codes]
+        if not letter.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes[~letter] = ord(" ")
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]  # a blank after each word, and one before the first
+        codes = codes[kept]
+        codes = np.concatenate([[ord(" ")][: int(codes[0] != ord(" "))], codes, [ord(" ")][: int(codes[-1] != ord(" "))]]).astype(np.int64)
         gram = sum(codes[k : len(codes) - self.order + 1 + k] << 21 * k for k in range(self.order))
         return np.unique(gram, return_counts=True)
 
