@@ -1,8 +1,8 @@
 """Token counts: one exact histogram of encoded lengths answers every total, quantile and context limit.
 
-The texts are encoded once. Each task folds its documents into (length, documents) pairs, so what is
-shuffled is bounded by the number of distinct lengths, not by the number of documents. Suffix sums over
-the merged histogram then give, for every length L: documents and tokens at or above L, and the tokens
+The texts are encoded once: each task folds its documents into (length, documents) pairs, so what is
+shuffled is bounded by the number of distinct lengths, not by the number of documents, and the merged
+histogram is written, as all answers read it more than once. Suffix sums over it then give, for every length L: documents and tokens at or above L, and the tokens
 kept if every document is truncated to L.
 
 Defined cases: a null text counts as a document of 0 tokens, like an empty one; repeated rows count as
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import read_bytes, small_batches
+from tidelane.llm.common import read_bytes, small_batches, stored
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the word pattern that the public byte-level BPE vocabularies are used with.
@@ -70,7 +70,7 @@ def length_histogram(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, text
             yield pa.record_batch([pa.array(lengths, pa.int64()), pa.array([seen[k] for k in lengths], pa.int64())], names=["n_tokens", "n_docs"])
 
     parts = docs.select(F.col(text).alias("text")).mapInArrow(fold, "n_tokens long, n_docs long")
-    return parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return stored(parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "token-lengths")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
