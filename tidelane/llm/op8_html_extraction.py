@@ -11,7 +11,8 @@ named after page furniture (nav, footer, aside, form, class ``ad`` ...) keeps QU
 Furniture and central blocks are decided by these bounds on any host, so only the rest's unimportant
 (host, path, text) entries make the model that the second pass over the pages looks up. Up to MAX_MODEL entries
 it is broadcast; beyond, the entries are joined with the pages' blocks and only the numbers of the blocks to remove
-return to the pages. Both ways give the same texts. Counting shuffles hashes, never texts.
+return to the pages. Both ways give the same texts. Counting shuffles hashes, never texts, and writes its counts, so
+that pages are parsed once for them and once for their texts (twice, beyond MAX_MODEL).
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own (empty); malformed markup is
 read as browsers do: unclosed elements end with their parents, a block ends an open paragraph, a ``<`` that opens no
@@ -186,7 +187,8 @@ def extract(pages: DataFrame, max_model: int = MAX_MODEL) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select("page_id", "url", "html")
-    noise = stored(importance(style_counts(rows)).where((F.col("kind") == 0) & (F.col("importance") < LEAST)).select("host", "path", "value"), "html-noise")
+    counts = stored(style_counts(rows), "html-counts")  # three branches of importance() read them
+    noise = stored(importance(counts).where((F.col("kind") == 0) & (F.col("importance") < LEAST)).select("host", "path", "value"), "html-noise")
     schema = rows.select("page_id", "url").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
 
     def out(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
