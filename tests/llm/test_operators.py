@@ -81,6 +81,19 @@ def test_mix_is_near_targets(spark):
         assert abs(r["t"] - r["g"]) <= 8 and r["m"] <= 2
 
 
+def test_mix_keeps_repeated_rows_apart(spark):
+    rows = [(k // 2, "w " * (1 + k // 2 % 5), "en", "ab"[k // 2 % 2]) for k in range(80)] + [(None, "x y", None, "a"), (None, "y x", None, "a"), (None, "y x", None, "a"), (3, None, None, None)]
+    d = docs(spark, rows)
+    queue, limit = op6_mixing.plan_mix(d)
+    want = sorted((str(r["doc_id"]), r["size"]) for r in op6_mixing.taken(queue, limit).collect() for _ in range(r["taken"] // max(r["size"], 1)))
+    out = op6_mixing.mixed(d).collect()
+    assert sorted((str(r["doc_id"]), len(r["text"].split())) for r in out) == want
+    most = {}
+    for r in out:
+        most[r["doc_id"], r["text"]] = most.get((r["doc_id"], r["text"]), 0) + 1
+    assert all(n <= 2 * sum((i, t) == key for i, t, *_ in rows) for key, n in most.items())
+
+
 def test_extraction_and_model_join(spark):
     page = "<html><body><nav><a>Menu</a></nav><div class=box>{n}</div><article><h1>T &amp; U</h1><p>Text {k}<p>a\n b</article><footer>F</footer>"
     pages = spark.createDataFrame([(k, "http://h.org/x", page.format(n="Always the same", k=k)) for k in range(20)] + [(99, None, None)], "page_id long, url string, html string")

@@ -12,7 +12,7 @@ Texts are read once, to count their words.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own,
 last in order; repeated rows are documents of their own; documents with equal places in the shuffle (same
-id) are ordered by size, and equal ones are interchangeable; a null id shuffles as the text ``null``; empty
+id) are ordered by size (and in the mix itself by their other columns), and equal ones are interchangeable; a null id shuffles as the text ``null``; empty
 tables give no rows. Reruns agree, as no order depends on partitions.
 """
 
@@ -29,10 +29,12 @@ MOST_PASSES = 2
 SEED = "mix"
 #: Documents per slice of the shuffle order or of virtual time, about.
 SLICE_ROWS = 500
+#: Slices at most, as one task sums up their totals; beyond, slices hold more documents.
+MAX_SLICES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+def sizes(docs: DataFrame, keep: list[str | Column] | None = None, text: str = "text") -> DataFrame:
     """The kept columns with ``size``: the words of the text."""
     return docs.select(*(keep or ["doc_id", "source"]), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
@@ -65,7 +67,7 @@ def shuffle_key(doc_id: Column, seed: str) -> Column:
 
 def queued(sized: DataFrame, plan: DataFrame, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds place, and ``served``: the words of the source up to and including the document in shuffle order."""
-    slices = max(1, min(1 << 20, -(-sized.count() // slice_rows)))
+    slices = max(1, min(MAX_SLICES, -(-sized.count() // slice_rows)))
     placed = (
         sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
         .select("d.*", "p.source_rank", "p.source_size", "p.target")
@@ -74,7 +76,7 @@ def queued(sized: DataFrame, plan: DataFrame, seed: str = SEED, slice_rows: int
     )
     before = Window.partitionBy("source_rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("source_rank", "slice").agg(F.sum("size").alias("n")).select("source_rank", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source_rank", "slice").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_rank", "slice").orderBy("place", "size", *[c for c in ("content",) if c in sized.columns]).rowsBetween(Window.unboundedPreceding, 0)
     return placed.withColumn("served_in", F.sum("size").over(inside)).join(offsets, ["source_rank", "slice"]).withColumn("served", F.col("served_in") + F.col("offset")).drop("served_in", "offset", "slice")
 
 
@@ -88,11 +90,14 @@ def _copies(queue: DataFrame, passes: int, *keep: str) -> DataFrame:
 
 
 def cut(queue: DataFrame, budget: float, passes: int = MOST_PASSES, slice_rows: int = SLICE_ROWS) -> tuple | None:
-    """The last copy that fits into the budget: (finish, source_rank, place, size, epoch); None if none does."""
+    """The last copy that fits into the budget: (finish, source_rank, place, size, epoch); None if none does.
+
+    At a finish time of 1 every source has had its target, so the end lies near it: later times than 2 share one slice.
+    """
     order = ["finish", "source_rank", "place", "size", "epoch"]
     copies = _copies(queue, passes)
-    slices = max(1, passes * queue.count() // slice_rows)
-    sliced = copies.withColumn("slice", F.floor(F.col("finish") * slices))
+    slices = max(1, min(MAX_SLICES, passes * queue.count() // slice_rows))
+    sliced = copies.withColumn("slice", F.floor(F.least(F.col("finish"), F.lit(2.0)) * slices))
     totals = sliced.groupBy("slice").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("slice")))
     last = totals.where(F.col("upto") > budget).orderBy("slice").select("slice", (F.col("upto") - F.col("n")).alias("start")).first()
     if last is None:
@@ -119,9 +124,9 @@ def _within(limit: tuple | None, value: Column, epoch: Column) -> Column:
     return (F.col("size") > 0) & (F.col("target") > 0) & (key <= end)
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES, seed: str = SEED) -> tuple[DataFrame, tuple | None]:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES, seed: str = SEED, keep: list[str | Column] | None = None) -> tuple[DataFrame, tuple | None]:
     """The queue, one row per document without its text, and the last copy taken."""
-    sized = stored(sizes(docs), "mix-sizes")
+    sized = stored(sizes(docs, keep), "mix-sizes")
     plan = stored(targets(sized, weights, share, passes), "mix-targets")
     queue = stored(queued(sized, plan, seed), "mix-queue")
     total = plan.agg(F.sum("source_size")).first()[0] or 0
@@ -137,18 +142,28 @@ def taken(queue: DataFrame, limit: tuple | None, passes: int = MOST_PASSES) -> D
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES, seed: str = SEED) -> DataFrame:
     """The mix itself: the documents' columns, a row per copy taken, with its finish time and epoch, in mix order over range partitions.
 
-    Documents are told apart by id and size, as their places are.
+    Documents are told apart by place, size and a hash of their columns; the rows that are equal in these are numbered on both
+    sides, so each meets one document of the queue.
     """
-    queue, limit = plan_mix(docs, weights, share, passes, seed)
-    copies = _copies(queue, passes, "doc_id", "target").where(_within(limit, F.col("finish"), F.col("epoch")))
-    keys = copies.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "finish", "epoch", "source_rank", "place").distinct()
+    content = _content(docs)
+    queue, limit = plan_mix(docs, weights, share, passes, seed, ["doc_id", "source", content])
+    same = ["place", "size", "content"]
+    numbered = queue.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("served")))
+    keys = _copies(numbered, passes, "content", "nth", "target").where(_within(limit, F.col("finish"), F.col("epoch"))).select(*same, F.col("nth").alias("_nth"), "finish", "epoch", "source_rank")
     columns = [c for c in docs.columns if c.lower() not in ("mix_finish", "mix_epoch")]
-    texts = docs.select(F.struct(*columns).alias("_row"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).alias("_n"))  # one column: no name can clash
-    out = texts.join(keys, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    rows = sizes(docs, [F.struct(*columns).alias("_row"), shuffle_key(F.col("doc_id"), seed).alias("place"), content])  # one column: no name can clash
+    texts = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("content")))
+    out = texts.join(keys, same).where(F.col("nth") - F.col("_nth") == 0)  # a difference is no join key, so both sides keep their window's partitions
     order = ["finish", "source_rank", "place", "epoch"]
     return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col("_row")[c].alias(c) for c in columns], F.col("finish").alias("mix_finish"), F.col("epoch").alias("mix_epoch"))
 
 
+def _content(docs: DataFrame) -> Column:
+    """A hash of all columns (but maps, which have none), nulls told from their neighbours."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[x for c in hashed for x in (c, c.isNull())]).alias("content")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue, limit = plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return taken(queue, limit).select("doc_id", "size", "source_size", "target", "taken")
