@@ -101,6 +101,21 @@ def test_extraction_and_model_join(spark):
     assert a == b and a[3] == "T & U Text 3 a b" and a[99] == ""
 
 
+def extracted(spark, pages, **kw):
+    rows = spark.createDataFrame([(k, url, html) for k, (url, html) in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in op8_html_extraction.extract(rows, **kw).collect()}
+
+
+def test_measured_importance_overrules_names(spark):
+    form = "<body><form id=aspnetForm><nav>Menu</nav><div class=c><h1>Title {k}</h1><p>All the text of page {k} stands in a form.</div><div class=d>Same on all</div></form>"
+    article = "<body><nav>Menu {k}</nav><article><p>Read this too</p><p>Main text of page {k}, which is much longer than the menu</article>"
+    pages = [("http://form.org/", form.format(k=k)) for k in range(6)] + [("http://art.org/", article.format(k=k)) for k in range(40)]
+    for most in (1_000, 0):
+        got = extracted(spark, pages, max_model=most)
+        assert got[3] == "Title 3 All the text of page 3 stands in a form."
+        assert got[9] == "Main text of page 3, which is much longer than the menu"
+
+
 def test_licenses_are_inherited(spark):
     files = spark.createDataFrame([(1, "p/LICENSE", "Released under the MIT License.\nmore"), (2, "p/q/r.txt", "text"), (3, "z.txt", "All rights reserved? no"), (4, "p/q/s.txt", "x\nLicensed under the Apache License, Version 2.0.")], "file_id long, path string, text string")
     got = {r["file_id"]: (r["license"], r["licensed_by"]) for r in op9_license_scan.scan(files).collect()}

@@ -4,14 +4,18 @@ The pages of a host are merged into one tree: a node is a path of elements (tag
 node the tree counts its pages, the styles in which its children come (their sequence of tags), and the texts
 of its blocks. Entropy makes importance of these counts: a node shown in one style on m pages has a presentation
 importance of 0, one that differs from page to page 1; a text on c of m pages has a content importance of
-1 - log(c) / log(m). A block's importance is GAMMA of its content's and the rest of its node's; a branch that is
-named after page furniture (nav, footer, aside, form, class ``ad`` ...) keeps QUIET of it at most, one inside
-``article`` or ``main`` is at least CENTRAL. Blocks below LEAST are removed from their page.
-
-Furniture and central blocks are decided by these bounds on any host, so only the rest's unimportant
-(host, path, text) entries make the model that the second pass over the pages looks up. Up to MAX_MODEL entries
-it is broadcast; beyond, the entries are joined with the pages' blocks and only the numbers of the blocks to remove
-return to the pages. Both ways give the same texts. Counting shuffles hashes, never texts, and writes its counts, so
+1 - log(c) / log(m). A block's importance is GAMMA of its content's and the rest of its node's. Blocks below LEAST
+are removed from their page, once FEW of the host's pages have their node.
+
+Names are a prior that the measure can overrule. A block inside ``article`` or ``main`` is removed below BARE, once
+SURE pages have its node. A branch named after page furniture (nav, footer, aside, form, class ``ad`` ...) is
+removed, unless it holds the host's main text: a region is what lies under one furniture element and under no
+further one, and where a region on FEW pages has at least as many important words (importance times words, over all pages) as
+all that is outside furniture on its host, its blocks are judged by LEAST like any other.
+
+Only the (host, path, text) entries whose judgement differs from their name's (unnamed blocks stay) make the model that the
+second pass over the pages looks up. Up to MAX_MODEL entries it is broadcast; beyond, the entries are joined with the
+pages' blocks and only the numbers of the blocks to flip return to the pages. Both ways give the same texts. Counting shuffles hashes, never texts, and writes its counts, so
 that pages are parsed once for them and once for their texts (twice, beyond MAX_MODEL).
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own (empty); malformed markup is
@@ -34,7 +38,9 @@ from pyspark.sql import functions as F
 from tidelane.llm.common import small_batches, stored
 
 GAMMA = 0.9
-QUIET, CENTRAL, LEAST = 0.25, 0.5, 0.3
+LEAST, BARE = 0.3, 0.1
+#: Pages with a node from which its texts are judged: at all, and against an article's name.
+FEW, SURE = 4, 30
 MAX_MODEL = 200_000
 
 #: Elements by their part in a page.
@@ -60,26 +66,27 @@ def host_of(url: str | None) -> str:
 
 
 class _Node:
-    __slots__ = ("children", "kind", "path", "tag")
+    __slots__ = ("children", "kind", "path", "region", "tag")
 
-    def __init__(self, tag: str, path: str, kind: int):
-        self.tag, self.path, self.kind, self.children = tag, path, kind, []
+    def __init__(self, tag: str, path: str, kind: int, region: str = ""):
+        self.tag, self.path, self.kind, self.region, self.children = tag, path, kind, region, []
 
 
-def blocks_of(page: str | None) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
-    """Blocks (path, kind, text) in page order, and each node's style (path, tags of its children).
+def blocks_of(page: str | None) -> tuple[list[tuple[str, int, str, str]], list[tuple[str, str]]]:
+    """Blocks (path, kind, region, text) in page order, and each node's style (path, tags of its children).
 
-    kind: -1 inside furniture, 1 inside an article or main element, 0 elsewhere.
+    kind: -1 inside furniture, 1 inside an article or main element, 0 elsewhere; region: the path of the innermost
+    furniture element around the block, or empty.
     """
     root = _Node("", "", 0)
     stack, nodes = [root], [root]
-    blocks: list[tuple[str, int, str]] = []
+    blocks: list[tuple[str, int, str, str]] = []
     text: list[str] = []
 
     def end_block() -> None:
         if text:
             if words := html.unescape("".join(text)).split():
-                blocks.append((stack[-1].path, stack[-1].kind, " ".join(words)))
+                blocks.append((stack[-1].path, stack[-1].kind, stack[-1].region, " ".join(words)))
             text.clear()
 
     def close(tags: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
@@ -121,12 +128,13 @@ def blocks_of(page: str | None) -> tuple[list[tuple[str, int, str]], list[tuple[
         if tag in VOID or token.endswith("/>"):
             continue
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(token)) if " " in token else ""
-        kind = parent.kind
+        kind, path = parent.kind, f"{parent.path}/{tag}" + (f".{names.lower()}" if names else "")
+        region = parent.region
         if tag in MIDDLE and kind >= 0:
             kind = 1
         elif tag not in ("html", "body", *MIDDLE) and (tag in FURNITURE or tag in HIDDEN or (tag == "header" and kind < 1) or (names and FURNITURE_NAME.search(names))):
-            kind = -1
-        node = _Node(tag, f"{parent.path}/{tag}" + (f".{names.lower()}" if names else ""), kind)
+            kind, region = -1, path
+        node = _Node(tag, path, kind, region)
         nodes.append(node)
         stack.append(node)
     if at < len(page):
@@ -140,7 +148,7 @@ def _hash(x: str) -> int:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, what, value, kind, n_pages, firsts): on how many of a host's pages a node has a text (what 0) or a style (what 1)."""
+    """(host, path, what, value, kind, region, words, n_pages, firsts): on how many of a host's pages a node has a text (what 0) or a style (what 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,23 +157,23 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 host = host_of(url)
                 blocks, styles = blocks_of(page)
                 seen: set = set()
-                for what, items in ((0, [(p, k, t) for p, k, t in blocks]), (1, [(p, 0, s) for p, s in styles])):
-                    for path, kind, value in items:
+                for what, items in ((0, blocks), (1, [(p, 0, "", s) for p, s in styles])):
+                    for path, kind, region, value in items:
                         key = (what, path, _hash(value))
                         if key not in seen:
                             first = (what, path) not in seen
                             seen |= {key, (what, path)}
-                            rows.append((host, _hash(path), what, key[2], kind, int(first)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "what", "value", "kind", "first"])
+                            rows.append((host, _hash(path), what, key[2], kind, _hash(region), value.count(" ") + 1, int(first)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "what", "value", "kind", "region", "words", "first"])
 
-    seen = pages.select("url", "html").mapInArrow(run, "host string, path long, what int, value long, kind int, first long")
-    return seen.groupBy("host", "path", "what", "value", "kind").agg(F.count("*").alias("n_pages"), F.sum("first").alias("firsts"))
+    seen = pages.select("url", "html").mapInArrow(run, "host string, path long, what int, value long, kind int, region long, words long, first long")
+    return seen.groupBy("host", "path", "what", "value", "kind").agg(F.max("region").alias("region"), F.max("words").alias("words"), F.count("*").alias("n_pages"), F.sum("first").alias("firsts"))
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, value, kind, importance) of every text of every node."""
+    """(host, path, value, kind, region, m, importance, weight) of every text of every node; weight: its important words on all pages."""
     nodes = counts.groupBy("host", "path", "what").agg(F.sum("firsts").alias("m"), F.sum(F.col("n_pages") * F.log("n_pages")).alias("nlogn"))
     m, many = F.col("m").cast("double"), F.col("m") > 1
     texts = nodes.where("what = 0").select("host", "path", "m")
@@ -174,12 +182,21 @@ def importance(counts: DataFrame) -> DataFrame:
     measured = counts.where("what = 0").join(texts, ["host", "path"]).join(styles, ["host", "path"], "left")
     content = F.when(many, 1 - F.log("n_pages") / F.log(m)).otherwise(1.0)
     plain = GAMMA * content + (1 - GAMMA) * F.coalesce("shape", content)
-    weighed = F.when(F.col("kind") < 0, plain * QUIET).when(F.col("kind") > 0, F.greatest(plain, F.lit(CENTRAL))).otherwise(plain)
-    return measured.select("host", "path", "value", "kind", weighed.alias("importance"))
+    return measured.select("host", "path", "value", "kind", "region", "m", plain.alias("importance"), (plain * F.col("words") * F.col("n_pages")).alias("weight"))
 
 
-def _text(blocks: list[tuple[str, int, str]], noise) -> str:
-    return " ".join(t for k, (path, kind, t) in enumerate(blocks) if kind > 0 or kind == 0 and not noise(k, path, t))
+def overruled(measured: DataFrame) -> DataFrame:
+    """(host, path, value): the texts of which the measure says otherwise than their names: unimportant ones outside furniture, important ones in it."""
+    outside = F.when(F.col("kind") > 0, (F.col("m") >= SURE) & (F.col("importance") < BARE)).otherwise((F.col("m") >= FEW) & (F.col("importance") < LEAST))
+    inside = measured.where("kind < 0").groupBy("host", "region").agg(F.max("m").alias("pages"), F.sum("weight").alias("held")).where(F.col("pages") >= FEW)
+    rest = measured.where("kind >= 0").groupBy("host").agg(F.sum("weight").alias("rest"))
+    main = inside.join(rest, "host", "left").where(F.col("held") >= F.coalesce("rest", F.lit(0.0))).select("host", "region")
+    kept = measured.where((F.col("kind") < 0) & ((F.col("m") < FEW) | (F.col("importance") >= LEAST))).join(main, ["host", "region"], "left_semi")
+    return measured.where((F.col("kind") >= 0) & outside).select("host", "path", "value").union(kept.select("host", "path", "value"))
+
+
+def _text(blocks: list[tuple[str, int, str, str]], flipped) -> str:
+    return " ".join(t for k, (path, kind, _, t) in enumerate(blocks) if (kind >= 0) != flipped(k, path, t))
 
 
 def extract(pages: DataFrame, max_model: int = MAX_MODEL) -> DataFrame:
@@ -187,15 +204,15 @@ def extract(pages: DataFrame, max_model: int = MAX_MODEL) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select("page_id", "url", "html")
-    counts = stored(style_counts(rows), "html-counts")  # three branches of importance() read them
-    noise = stored(importance(counts).where((F.col("kind") == 0) & (F.col("importance") < LEAST)).select("host", "path", "value"), "html-noise")
+    counts = stored(style_counts(rows), "html-counts")  # the branches of importance() read them
+    flips = stored(overruled(stored(importance(counts), "html-measured")), "html-flips")
     schema = rows.select("page_id", "url").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
 
     def out(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    if noise.count() <= max_model:
-        sent = spark.sparkContext.broadcast({tuple(r) for r in noise.collect()})
+    if flips.count() <= max_model:
+        sent = spark.sparkContext.broadcast({tuple(r) for r in flips.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = sent.value
@@ -212,22 +229,22 @@ def extract(pages: DataFrame, max_model: int = MAX_MODEL) -> DataFrame:
         for batch in batches:
             found = []
             for page, url, content in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html")), strict=True):
-                found += [(page, host_of(url), _hash(path), _hash(t), k) for k, (path, kind, t) in enumerate(blocks_of(content)[0]) if kind == 0]
+                found += [(page, host_of(url), _hash(path), _hash(t), k) for k, (path, _, _, t) in enumerate(blocks_of(content)[0])]
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [[]] * 5, types, strict=True)], names=["page", "host", "path", "value", "k"])
 
-    keyed = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))  # equal pages lose equal blocks
-    lost = keyed.select("page", "url", "html").mapInArrow(number, "page long, host string, path long, value long, k int").join(noise, ["host", "path", "value"]).groupBy("page").agg(F.collect_set("k").alias("lost"))
+    keyed = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))  # equal pages flip equal blocks
+    flipped = keyed.select("page", "url", "html").mapInArrow(number, "page long, host string, path long, value long, k int").join(flips, ["host", "path", "value"]).groupBy("page").agg(F.collect_set("k").alias("flipped"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, gone in zip(batch.column("html").to_pylist(), batch.column("lost").to_pylist(), strict=True):
-                without = frozenset(gone or ())
-                texts.append(_text(blocks_of(page)[0], lambda k, path, t, without=without: k in without))
+            for page, flips_of in zip(batch.column("html").to_pylist(), batch.column("flipped").to_pylist(), strict=True):
+                turned = frozenset(flips_of or ())
+                texts.append(_text(blocks_of(page)[0], lambda k, path, t, turned=turned: k in turned))
             yield out(batch, texts)
 
-    return keyed.join(lost, "page", "left").select("page_id", "url", "html", "lost").mapInArrow(drop, schema)
+    return keyed.join(flipped, "page", "left").select("page_id", "url", "html", "flipped").mapInArrow(drop, schema)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
