@@ -116,6 +116,14 @@ def test_measured_importance_overrules_names(spark):
         assert got[9] == "Main text of page 3, which is much longer than the menu"
 
 
+def test_copies_of_a_page_do_not_make_its_text_boilerplate(spark):
+    page = "<body><div class=t>Text {k}</div><div class=s>Same on all</div></body>"
+    pages = [("http://two.org/", page.format(k=0))] * 2 + [("http://many.org/", page.format(k=k)) for k in [0] * 30 + list(range(1, 9))]
+    got = extracted(spark, pages)
+    assert got[0] == got[1] == "Text 0 Same on all"
+    assert [got[k] for k in range(2, 40)] == [f"Text {k}" for k in [0] * 30 + list(range(1, 9))]
+
+
 def test_licenses_are_inherited(spark):
     files = spark.createDataFrame([(1, "p/LICENSE", "Released under the MIT License.\nmore"), (2, "p/q/r.txt", "text"), (3, "z.txt", "All rights reserved? no"), (4, "p/q/s.txt", "x\nLicensed under the Apache License, Version 2.0.")], "file_id long, path string, text string")
     got = {r["file_id"]: (r["license"], r["licensed_by"]) for r in op9_license_scan.scan(files).collect()}

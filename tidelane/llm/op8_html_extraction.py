@@ -1,7 +1,7 @@
 """HTML extraction with a site style tree.
 
 The pages of a host are merged into one tree: a node is a path of elements (tag and class) below the root. For every
-node the tree counts its pages, the styles in which its children come (their sequence of tags), and the texts
+node the tree counts its distinct pages, the styles in which its children come (their sequence of tags), and the texts
 of its blocks. Entropy makes importance of these counts: a node shown in one style on m pages has a presentation
 importance of 0, one that differs from page to page 1; a text on c of m pages has a content importance of
 1 - log(c) / log(m). A block's importance is GAMMA of its content's and the rest of its node's. Blocks below LEAST
@@ -21,7 +21,7 @@ that pages are parsed once for them and once for their texts (twice, beyond MAX_
 Defined cases: null or empty html gives an empty text; a null url is a host of its own (empty); malformed markup is
 read as browsers do: unclosed elements end with their parents, a block ends an open paragraph, a ``<`` that opens no
 tag is text; comments, scripts, styles and the head are no content, unclosed ones to the end; repeated pages are each
-extracted; empty tables give no rows; only page_id, url and html are read.
+extracted, but counted once for their host; empty tables give no rows; only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -152,9 +152,9 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            columns: tuple[list, list, list] = ([], [], [])
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host = host_of(url)
+                entries: list[tuple] = []
                 blocks, styles = blocks_of(page)
                 seen: set = set()
                 for what, items in ((0, blocks), (1, [(p, 0, "", s) for p, s in styles])):
@@ -163,12 +163,15 @@ def style_counts(pages: DataFrame) -> DataFrame:
                         if key not in seen:
                             first = (what, path) not in seen
                             seen |= {key, (what, path)}
-                            rows.append((host, _hash(path), what, key[2], kind, _hash(region), value.count(" ") + 1, int(first)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "what", "value", "kind", "region", "words", "first"])
-
-    seen = pages.select("url", "html").mapInArrow(run, "host string, path long, what int, value long, kind int, region long, words long, first long")
+                            entries.append((_hash(path), what, key[2], kind, _hash(region), value.count(" ") + 1, int(first)))
+                for column, x in zip(columns, (host_of(url), _hash(page or ""), entries), strict=True):
+                    column.append(x)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(entry)), strict=True)], names=["host", "page", "entries"])
+
+    entry = pa.struct([("path", pa.int64()), ("what", pa.int32()), ("value", pa.int64()), ("kind", pa.int32()), ("region", pa.int64()), ("words", pa.int64()), ("first", pa.int64())])
+    read = pages.select("url", "html").mapInArrow(run, "host string, page long, entries array<struct<path: long, what: int, value: long, kind: int, region: long, words: long, first: long>>")
+    # Equal pages of a host have equal entries: one of them counts.
+    seen = read.groupBy("host", "page").agg(F.first("entries").alias("entries")).select("host", F.inline("entries"))
     return seen.groupBy("host", "path", "what", "value", "kind").agg(F.max("region").alias("region"), F.max("words").alias("words"), F.count("*").alias("n_pages"), F.sum("first").alias("firsts"))
 
 
