@@ -124,6 +124,18 @@ def test_copies_of_a_page_do_not_make_its_text_boilerplate(spark):
     assert [got[k] for k in range(2, 40)] == [f"Text {k}" for k in [0] * 30 + list(range(1, 9))]
 
 
+def test_head_and_drawings_end_as_in_browsers(spark):
+    pages = [
+        "<html><head><meta charset=utf-8><title>No</title><body><article><p>Whole text</article>",
+        "<head><link href=x><script>no()</script><p>Whole text",
+        "<head><title>No</title></head><body><article><p>Whole <svg viewBox='0 0 1 1'/>text</article>",
+        "<article><svg width=1><path d=z /><text>no</text></svg><p>Whole text</article>",
+        "<article><svg width=1><style>p > b {}</style><path d=z><p>Whole text</article>",
+    ]
+    got = extracted(spark, [(None, p) for p in pages])
+    assert [got[k] for k in range(5)] == ["Whole text"] * 5
+
+
 def test_licenses_are_inherited(spark):
     files = spark.createDataFrame([(1, "p/LICENSE", "Released under the MIT License.\nmore"), (2, "p/q/r.txt", "text"), (3, "z.txt", "All rights reserved? no"), (4, "p/q/s.txt", "x\nLicensed under the Apache License, Version 2.0.")], "file_id long, path string, text string")
     got = {r["file_id"]: (r["license"], r["licensed_by"]) for r in op9_license_scan.scan(files).collect()}

@@ -20,7 +20,9 @@ that pages are parsed once for them and once for their texts (twice, beyond MAX_
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own (empty); malformed markup is
 read as browsers do: unclosed elements end with their parents, a block ends an open paragraph, a ``<`` that opens no
-tag is text; comments, scripts, styles and the head are no content, unclosed ones to the end; repeated pages are each
+tag is text; comments, scripts, styles and the like are no content, unclosed ones to the end; nor is the
+head, which ends at the first thing that can't stand in it, or a drawing, which ends at the first HTML block or its own
+``/>``; repeated pages are each
 extracted, but counted once for their host; empty tables give no rows; only page_id, url and html are read.
 """
 
@@ -55,7 +57,11 @@ SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 #: Class and id words of page furniture.
 FURNITURE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|share|sharing|social|comments?|replies|disqus|respond|related|recommended|newsletter|subscribe|signup|login|search|pagination|toolbar|widget)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|title|head|select|iframe)\b[^>]*+>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>", re.S | re.I)
+#: Elements that end a drawing, and those that don't end the head.
+_BREAKOUT = "b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strike|strong|sub|sup|table|tt|u|ul|var|article|main|section|nav|footer|header|aside"
+IN_HEAD = frozenset("base basefont bgsound html link meta".split())
+_SVG = rf"<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>(?:<!--.*?-->|<style\b[^>]*+(?<!/)>.*?</style\s*>|<script\b[^>]*+(?<!/)>.*?</script\s*>|(?!</(?:svg|{_BREAKOUT})[\s/>]|<(?:{_BREAKOUT})[\s/>]).)*+(?:</svg\s*>)?"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|select|iframe)\b[^>]*+>.*?(?:</\1\s*>|\Z)|" + _SVG + r"|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>", re.S | re.I)
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
@@ -98,10 +104,11 @@ def blocks_of(page: str | None) -> tuple[list[tuple[str, int, str, str]], list[t
             if stack[k].tag in within:
                 return
 
-    at, page = 0, page or ""
+    at, page, head = 0, page or "", False
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text.append(page[at : m.start()])
+            head = head and not text[-1].strip()
         at = m.end()
         token = m[0]
         name = _TAG.match(token)
@@ -110,6 +117,15 @@ def blocks_of(page: str | None) -> tuple[list[tuple[str, int, str, str]], list[t
                 text.append(" ")
             continue
         tag = name[1].lower()
+        if tag == "head":
+            head = token[1] != "/"
+            continue
+        if tag == "svg":  # a whole drawing, or an end without a start
+            text.append(" ")
+            continue
+        if head and tag in IN_HEAD:
+            continue
+        head = False
         if tag in INLINE:
             continue
         if tag == "br":
