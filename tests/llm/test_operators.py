@@ -142,6 +142,15 @@ def test_licenses_are_inherited(spark):
     assert got[1] == ("MIT", "file") and got[2] == ("MIT", "p") and got[4] == ("Apache-2.0", "file")
 
 
+def test_wrapped_notices_and_leading_blocks(spark):
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\ncode"
+    go = "// Copyright 2009 The Go Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage x"
+    late = "Some words of prose\nReleased under the MIT License."
+    files = spark.createDataFrame([(1, "m/a.c", mpl), (2, "g/a.go", go), (3, "g/h/b.txt", "text"), (4, "l/a.txt", late), (5, "l/b.txt", "text"), (6, "r/a.txt", "All rights reserved.\nx")], "file_id long, path string, text string")
+    got = {r["file_id"]: (r["license"], r["licensed_by"]) for r in op9_license_scan.scan(files).collect()}
+    assert got == {1: ("MPL-2.0", "file"), 2: ("BSD-3-Clause", "file"), 3: ("BSD-3-Clause", "g"), 4: ("MIT", "file"), 5: (None, None), 6: ("Proprietary", "file")}
+
+
 def test_join_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []

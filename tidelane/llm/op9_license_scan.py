@@ -2,8 +2,12 @@
 
 Every line of a text that holds a word of the trade (license, copyright, rights ...) is compared with each template
 by the cosine of their TF-IDF vectors; inverse document frequencies come from all documents, counted for the
-templates' words only. The best line above LEAST_SIMILARITY decides a file's own license, wherever it stands.
-Files whose notice is their first line speak for their directory as well: of a directory's notices the most
+templates' words only. A notice wrapped over lines, or amid other words, is found by windows of each template's own
+length that slide, word by word, over the joined lines around any HINT; short templates must then be matched nearly in
+full (SHORT, NEARLY). The best line or window above LEAST_SIMILARITY decides a file's own license, wherever it stands; "all rights
+reserved", which stands in licensed files as well, decides only without another one.
+Files whose notice begins in their leading block (after nothing but lines of comment, of the trade, or without words)
+speak for their directory as well: of a directory's notices the most
 frequent counts. A file without a license of its own gets that of its nearest ancestor directory that has one,
 by joins on directory paths: directories are resolved first, each against its own ancestors, so that a directory of
 any number of files is one row there, and files then join their own directory.
@@ -29,6 +33,8 @@ from tidelane.llm.common import small_batches, stored
 LEAST_SIMILARITY = 0.55
 #: A longer line is compared in pieces of so many words, half overlapping; nothing of it is left out.
 PIECE = 60
+#: Templates of fewer words fill a window by chance: from there on they need this similarity.
+SHORT, NEARLY = 8, 0.95
 
 #: License names and the notices that name them.
 TEMPLATES = {
@@ -42,11 +48,16 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "Proprietary and confidential. Unauthorized copying is prohibited."],
 }
-#: Only lines with one of these are compared.
+#: Notices that licensed files hold as well.
+RESERVED = frozenset(("All rights reserved.", "Copyright. All rights reserved."))
+#: Lines with one of these are compared on their own.
 TRADE = re.compile(r"licen[sc]|copyright|rights\s+reserved|spdx|public\s+domain|redistribution|permission\s+is\s+hereby|proprietary|creative\s+commons|cc0|©", re.I)
 #: What every such line holds in lower case; found faster than the pattern.
 HINTS = ("licen", "copyright", "rights", "spdx", "public", "redistribution", "permission", "proprietary", "creative", "cc0", "©")
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_HINT = re.compile("|".join(HINTS))
+#: What a line of comment begins with.
+_COMMENT = re.compile(r"\s*(?:/\*|\*|//|#|--|;|%|<!--|\"\"\"|''')")
 
 
 def words_of(line: str) -> list[str]:
@@ -60,44 +71,97 @@ class Templates:
         self.idf = {w: math.log((1 + n_docs) / (1 + k)) + 1 for w, k in df.items()}
         self.rare = math.log(1 + n_docs) + 1
         self.names: list[str] = []
+        self.yields: list[bool] = []
+        #: Templates by their number of words, each as its unit vector.
+        self.sizes: dict[int, list[tuple[int, dict[str, float]]]] = {}
         self.index: dict[str, list[tuple[int, float]]] = {}
         for name in sorted(templates):
             for notice in templates[name]:
-                for word, weight in self._unit(words_of(notice)).items():
+                unit = self._unit(words_of(notice))
+                for word, weight in unit.items():
                     self.index.setdefault(word, []).append((len(self.names), weight))
+                self.sizes.setdefault(len(words_of(notice)), []).append((len(self.names), unit))
                 self.names.append(name)
+                self.yields.append(notice in RESERVED)
 
     def _unit(self, words: list[str]) -> dict[str, float]:
         weights = {w: (1 + math.log(k)) * self.idf.get(w, self.rare) for w, k in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in weights.values()))
         return {w: x / norm for w, x in weights.items()} if norm else {}
 
-    def best(self, line: str) -> tuple[float, str]:
-        """(cosine, license): the smaller name among equals."""
+    def of_line(self, line: str) -> Iterator[tuple[float, int]]:
+        """(cosine, template) of each template that shares a word with the line, or a piece of it."""
         words = words_of(line)
-        most = (0.0, "")
         for at in range(0, max(1, len(words) - PIECE // 2), PIECE // 2):
             scores: dict[int, float] = {}
             for word, x in self._unit(words[at : at + PIECE]).items():
                 for k, y in self.index.get(word, ()):
                     scores[k] = scores.get(k, 0.0) + x * y
             for k, s in scores.items():
-                s = round(s, 9)
-                if s > most[0] or s == most[0] and self.names[k] < most[1]:
-                    most = (s, self.names[k])
-        return most
+                yield round(s, 9), k
+
+    def of_windows(self, words: list[str]) -> Iterator[tuple[float, int, int]]:
+        """(cosine, template, place) of the windows of each template's length that are similar enough."""
+        idf = [self.idf.get(w, self.rare) for w in words]
+        for size, some in self.sizes.items():
+            least = LEAST_SIMILARITY if size >= SHORT else NEARLY
+            counts: dict[str, int] = {}
+            norm2, dots = 0.0, [0.0] * len(some)
+            for at in range(len(words)):
+                for place, by in ((at, 1), (at - size, -1)):
+                    if place >= 0:
+                        word, n = words[place], counts.get(words[place], 0)
+                        old, new = ((1 + math.log(x)) * idf[place] if x else 0.0 for x in (n, n + by))
+                        counts[word] = n + by
+                        norm2 += new * new - old * old
+                        for j, (_, unit) in enumerate(some):
+                            if word in unit:
+                                dots[j] += (new - old) * unit[word]
+                if at >= size - 1:
+                    for j, (k, _) in enumerate(some):
+                        if dots[j] > 0 and dots[j] * dots[j] >= least * least * norm2 * (1 - 1e-9):
+                            yield round(dots[j] / math.sqrt(norm2), 9), k, at - size + 1
 
     def of_text(self, text: str | None) -> tuple[str | None, float, bool]:
-        """The license, its similarity, and whether its notice is the text's first line."""
-        name, similarity, head = None, 0.0, False
+        """The license, its similarity, and whether its notice begins in the text's leading block."""
         low = (text or "").lower()
-        if any(hint in low for hint in HINTS):
-            for k, line in enumerate((text or "").lstrip().splitlines()):
-                if TRADE.search(line):
-                    s, found = self.best(line)
-                    if s >= LEAST_SIMILARITY and (s > similarity or s == similarity and found < name):
-                        name, similarity, head = found, s, k == 0
-        return name, similarity, head
+        if not any(hint in low for hint in HINTS):
+            return None, 0.0, False
+        lines = (text or "").lstrip().splitlines()
+        words: list[str] = []
+        line_of: list[int] = []
+        hints: list[int] = []
+        leading = len(lines)  # lines before this one, and it too, are the place of a leading notice
+        for k, line in enumerate(lines):
+            own = words_of(line)
+            if _HINT.search(line.lower()):
+                hints += [len(words) + j for j, w in enumerate(own) if _HINT.search(w)] or [len(words)]
+            if k < leading and own and not _COMMENT.match(line) and not TRADE.search(line):
+                leading = k
+            words += own
+            line_of += [k] * len(own)
+        best: tuple[bool, float, str, bool] | None = None
+
+        def offer(s: float, k: int, line: int) -> None:
+            nonlocal best
+            mine = (self.yields[k], -s, self.names[k], line > leading)
+            if best is None or mine < best:
+                best = mine
+
+        for k, line in enumerate(lines):
+            if TRADE.search(line):
+                for s, template in self.of_line(line):
+                    if s >= LEAST_SIMILARITY:
+                        offer(s, template, k)
+        reach = max(self.sizes, default=0)
+        done = 0
+        for n, hint in enumerate(hints):  # neighbouring hints share a stretch of words
+            if n + 1 == len(hints) or hints[n + 1] - hint > 2 * reach:
+                low_end, high_end = max(0, hints[done] - reach), hint + reach
+                for s, template, at in self.of_windows(words[low_end:high_end]):
+                    offer(s, template, line_of[low_end + at])
+                done = n + 1
+        return (best[2], -best[1], not best[3]) if best else (None, 0.0, False)
 
 
 def document_frequencies(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> tuple[dict[str, int], int]:
@@ -118,7 +182,7 @@ def document_frequencies(docs: DataFrame, templates: dict[str, list[str]] = TEMP
 
 
 def own_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """(file_id, path, own_license, similarity, speaks): speaks marks a notice in the first line."""
+    """(file_id, path, own_license, similarity, speaks): speaks marks a notice in the leading block."""
     spark = files.sparkSession
     small_batches(spark)
     df, n = document_frequencies(files, templates)
