@@ -151,6 +151,22 @@ def test_wrapped_notices_and_leading_blocks(spark):
     assert got == {1: ("MPL-2.0", "file"), 2: ("BSD-3-Clause", "file"), 3: ("BSD-3-Clause", "g"), 4: ("MIT", "file"), 5: (None, None), 6: ("Proprietary", "file")}
 
 
+def test_short_queries_find_long_neighbours(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(24, 8))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    long = np.repeat(centres, 64, 0) + rng.normal(scale=0.002, size=(24 * 64, 8))
+    short = 0.02 * (centres[np.arange(512) % 24] + rng.normal(scale=0.1, size=(512, 8)))
+    x = np.concatenate([short, long])
+    ids = np.concatenate([20 * np.arange(512), 20 * np.arange(24 * 64) + 1])
+    got = op1_neighbours.neighbours(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    scores = short @ x.T
+    scores[np.arange(512), np.arange(512)] = -np.inf
+    best = {(int(ids[q]), int(ids[k])) for q in range(512) for k in np.argsort(-scores[q])[:20]}
+    assert len(best & found) >= 0.98 * len(best)
+
+
 def test_join_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []

@@ -4,7 +4,8 @@ A Gaussian (2-stable) projection to DIMENSIONS numbers turns a distance d into d
 chi-square law of DIMENSIONS degrees. A kd-tree over the projections returns leaves in order of nearness; their
 vectors are verified with the exact measure, until the next leaf is so far, against the k-th best found so far, that
 a better vector would lie that far with a probability of at most 1 - CONFIDENCE. Largest inner products become
-least distances by one further component, sqrt(M^2 - |x|^2) with M the largest norm, for vectors of any length.
+least distances by one further component, sqrt(M^2 - |x|^2) with M the largest norm and 0 for queries, for vectors of any
+length.
 
 The upper tree is fitted on a bounded sample (MAX_SAMPLE projections, chosen by a hash of the id) and then routes
 every row to a cell; cells become blocks of about BLOCK rows, with a kd-tree of their own inside, and a cell of very
@@ -245,14 +246,18 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     depth = min(max(0, math.ceil(math.log2(n / BLOCK))), max(0, int(math.log2(max(1, len(points) / 4)))))
     cells = Cells(points, depth)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, dimensions)
-            z = augmented(x, largest) @ matrix
-            yield pa.record_batch([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in z], pa.binary()), pa.array(cells.of(z), pa.int64())], names=["vec_id", "x", "z", "cell"])
+    def place(further):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.array(batch.column(1).to_pylist(), float).reshape(-1, dimensions)
+                z = further(x) @ matrix
+                yield pa.record_batch([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in z], pa.binary()), pa.array(cells.of(z), pa.int64())], names=["vec_id", "x", "z", "cell"])
+
+        return run, "vec_id long, x binary, z binary, cell long"
 
     small_batches(spark)
-    placed = stored(rows.mapInArrow(place, "vec_id long, x binary, z binary, cell long"), "near-placed")
+    placed = stored(rows.mapInArrow(*place(lambda x: augmented(x, largest))), "near-placed")
+    questions = stored(rows.where(F.col("vec_id") % every == 0).mapInArrow(*place(lambda x: np.pad(x, ((0, 0), (0, 1))))), "near-questions")
     pack, packed = _pack(dimensions)
 
     def blocks(some: DataFrame, cell, size: int, name: str) -> DataFrame:
@@ -262,7 +267,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         return stored(salted.select("block", "cell", "vec_id", "x", "z").groupBy("block").applyInArrow(pack, packed), name)
 
     data = blocks(placed, F.col("cell"), BLOCK, "near-data")
-    asked = blocks(placed.where(F.col("vec_id") % every == 0), F.shiftright("cell", SHARED_BITS), QUERY_BLOCK, "near-asked")
+    asked = blocks(questions, F.shiftright("cell", SHARED_BITS), QUERY_BLOCK, "near-asked")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # rows are whole blocks here
     try:
         side = lambda df, p: df.select(F.col("block").alias(f"{p}_block"), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "x", "z", "low", "high")])
