@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at a time; whole texts of this many rows are held at once.
 BATCH_ROWS = 512
+#: Bytes handed to a Python worker at a time, about; one text may be longer, and is then alone.
+BATCH_BYTES = 64 << 20
 
 #: Lower-case table for A-Z alone, as the contracts ask (no other letter changes).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,13 +43,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts the lineage: a lost executor costs no recomputation of what came before. The files are
-    removed when the driver's process ends.
+    removed by ``release``, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelane-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables from ``stored`` that nothing will read any more; the tables can't be used after."""
+    for table in tables:
+        _remove(table.sparkSession, table._stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -59,9 +70,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds: few whole texts at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound what a Python worker holds, by rows and by bytes: few whole texts at a time.
+
+    Frames run when their user asks for rows, so the bounds must outlast the call: they stay in the session. They are
+    only ever lowered; a smaller value of the user's is kept.
+    """
+    lower_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    lower_setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def lower_setting(spark: SparkSession, key: str, most: int) -> None:
+    now = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", spark.conf.get(key).lower())
+    size = int(now[1]) << (10 * " bkmgt".index(now[2] or "b") - 10) if now else 0
+    if not 0 < size <= most:
+        spark.conf.set(key, str(most))
 
 
 def ascii_lower(column: Column) -> Column:
