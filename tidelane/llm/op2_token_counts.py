@@ -7,12 +7,15 @@ kept if every document is truncated to L.
 
 Defined cases: a null text counts as a document of 0 tokens, like an empty one; repeated rows count as
 often as they occur; an empty table gives an empty histogram; other columns are never read, so clashing
-names do no harm; special-token strings in a text are ordinary text; texts of any length are encoded whole.
+names do no harm; special-token strings in a text are ordinary text; texts of any length are encoded whole. A very
+long run of blanks inside a text, which the pattern's engine can't take, is cut where the pattern ends a word
+anyhow: before its last blank. So the pieces' counts add up to the whole's.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -25,10 +28,25 @@ from tidelane.llm.common import read_bytes, small_batches, stored
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the word pattern that the public byte-level BPE vocabularies are used with.
 BYTE_BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Inner runs of blanks from this length on are encoded apart.
+LONG_RUN = 10_000
+#: The blanks that the pattern's engine knows.
+_LONG_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 #: Lengths per block of the two-level suffix sums.
 SPAN = 256
 
 
+def cut_at_long_runs(text: str) -> Iterator[str]:
+    """Pieces of the text that BYTE_BPE_PATTERN cuts there too: a run of blanks but its last one is a word of its own."""
+    at = 0
+    for m in _LONG_BLANKS.finditer(text):
+        if m.end() < len(text):  # at the end of the text the pattern takes the run at once
+            yield text[at : m.start()]
+            yield text[m.start() : m.end() - 1]
+            at = m.end() - 1
+    yield text[at:]
+
+
 def make_counter(name: str, content: bytes, pattern: str = BYTE_BPE_PATTERN) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts for a .tiktoken, tokenizers .json or sentencepiece .model file."""
     if name.endswith(".tiktoken"):
@@ -36,7 +54,9 @@ def make_counter(name: str, content: bytes, pattern: str = BYTE_BPE_PATTERN) ->
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda texts: [len(encode(t)) for t in texts]
+        if pattern != BYTE_BPE_PATTERN:
+            return lambda texts: [len(encode(t)) for t in texts]
+        return lambda texts: [len(encode(t)) if len(t) < LONG_RUN else sum(len(encode(piece)) for piece in cut_at_long_runs(t)) for t in texts]
     if name.endswith(".json"):
         from tokenizers import Tokenizer
 
