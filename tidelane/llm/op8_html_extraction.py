@@ -2,28 +2,31 @@
 
 The pages of a host are merged into one tree: a node is a path of elements (tag and class) below the root. For every
 node the tree counts its distinct pages, the styles in which its children come (their sequence of tags), and the texts
-of its blocks. Entropy makes importance of these counts: a node shown in one style on m pages has a presentation
-importance of 0, one that differs from page to page 1; a text on c of m pages has a content importance of
-1 - log(c) / log(m). A block's importance is GAMMA of its content's and the rest of its node's. Blocks below LEAST
-are removed from their page, once FEW of the host's pages have their node.
-
-Names are a prior that the measure can overrule. A block inside ``article`` or ``main`` is removed below BARE, once
-SURE pages have its node. A branch named after page furniture (nav, footer, aside, form, class ``ad`` ...) is
-removed, unless it holds the host's main text: a region is what lies under one furniture element and under no
-further one, and where a region on FEW pages has at least as many important words (importance times words, over all pages) as
-all that is outside furniture on its host, its blocks are judged by LEAST like any other.
-
-Only the (host, path, text) entries whose judgement differs from their name's (unnamed blocks stay) make the model that the
-second pass over the pages looks up. Up to MAX_MODEL entries it is broadcast; beyond, the entries are joined with the
-pages' blocks and only the numbers of the blocks to flip return to the pages. Both ways give the same texts. Counting shuffles hashes, never texts, and writes its counts, so
-that pages are parsed once for them and once for their texts (twice, beyond MAX_MODEL).
-
-Defined cases: null or empty html gives an empty text; a null url is a host of its own (empty); malformed markup is
-read as browsers do: unclosed elements end with their parents, a block ends an open paragraph, a ``<`` that opens no
-tag is text; comments, scripts, styles and the like are no content, unclosed ones to the end; nor is the
-head, which ends at the first thing that can't stand in it, or a drawing, which ends at the first HTML block or its own
-``/>``; repeated pages are each
-extracted, but counted once for their host; empty tables give no rows; only page_id, url and html are read.
+of its blocks. Entropy measures these counts: a node shown in one style on m pages measures 0 in presentation, one
+that differs from page to page 1; a text on c of m pages measures 1 - log(c) / log(m) in content. GAMMA of a text's
+content and the rest of its node's presentation are its measure; a node's measure is the mean over its words.
+
+Importance decides on every branch, in log-odds: a prior by the names of elements and classes (PRIOR), plus STEEP times
+the measure less a pivot, trusted fully from SURE pages on and not at all below FEW. A node's pivot is the host's own
+mean measure if its names say nothing, so that texts that rotate over some pages stand out from a host's unique ones; else, and for
+single texts, it is a half. The prior of a furniture region (what lies under one furniture element and under no further one) is
+that of unnamed nodes where the region, on FEW pages, has at least as many important words (measure times words, over
+all pages) as all that is outside furniture on its host: then it holds the main text.
+
+The model is what the tree removes: nodes (host, path) with an importance below a half, and single texts
+(host, path, text) of nodes that stay. The second pass over the pages looks blocks up there, and knows no other rule. Up to MAX_MODEL
+entries the model is broadcast; beyond, it is joined with the pages' block hashes, salted by page as a block may stand on
+every page of a host, and only the numbers of the blocks to remove return to the pages. Both ways give the same texts.
+Counting shuffles hashes, never texts, and writes its counts, so that pages are parsed once for them and once for their
+texts (twice, beyond MAX_MODEL).
+
+Pages are read by one scanner, in time linear in their length, however deep or broken their markup. Defined cases: null
+or empty html gives an empty text; a null url is a host of its own (empty); malformed markup is read much as browsers
+do: unclosed elements end with their parents, a block ends an open paragraph, a ``<`` that opens no tag is text, a quote
+that is never closed is none, and once a tag's quotes leave it without an end, quotes are no longer minded in the page; comments, scripts, styles and
+the like are no content, unclosed ones to the end; nor is the head, which ends at the first thing that can't stand in it, or a drawing, which ends at the
+first HTML block or its own ``/>``; very long pages are read whole; repeated pages are each extracted, but counted once for their host; empty
+tables give no rows; only page_id, url and html are read, so other columns' names do no harm.
 """
 
 from __future__ import annotations
@@ -37,32 +40,40 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import small_batches, stored
+from tidelane.llm.common import release, small_batches, stored
 
 GAMMA = 0.9
-LEAST, BARE = 0.3, 0.1
-#: Pages with a node from which its texts are judged: at all, and against an article's name.
+#: Log-odds by name: inside furniture, without a name that tells, inside an article or main element.
+PRIOR = {-1: -3.0, 0: 1.0, 1: 2.0}
+STEEP = 5.0
+#: Pages with a node from which its measure is heard at all, and trusted fully.
 FEW, SURE = 4, 30
 MAX_MODEL = 200_000
+SALTS = 16
 
 #: Elements by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("button datalist head iframe noscript object option script select style svg template textarea title".split())
+RAW = frozenset("script style noscript template textarea title select iframe".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 MIDDLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split())
 #: Elements that an element of the same kind ends.
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-#: Class and id words of page furniture.
-FURNITURE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|share|sharing|social|comments?|replies|disqus|respond|related|recommended|newsletter|subscribe|signup|login|search|pagination|toolbar|widget)(?:$|[\s_-])", re.I)
-
+#: Parts of class and id names of page furniture; and such as mean it, inside articles and on headings, only as a whole name.
+FURNITURE_PART = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|popup|modal|overlay|share|sharing|social|comments?|replies|disqus|respond|newsletter|subscribe|signup|login|pagination|toolbar)(?:$|[\s_-])", re.I)
+VAGUE = "banner|promo\\w*|header|notices?|related|recommended|search|widget"
+VAGUE_PART, VAGUE_NAME = re.compile(rf"(?:^|[\s_-])(?:{VAGUE})(?:$|[\s_-])", re.I), re.compile(rf"(?:^|\s)(?:{VAGUE})(?:$|\s)", re.I)
 #: Elements that end a drawing, and those that don't end the head.
-_BREAKOUT = "b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strike|strong|sub|sup|table|tt|u|ul|var|article|main|section|nav|footer|header|aside"
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article main section nav footer header aside".split())
 IN_HEAD = frozenset("base basefont bgsound html link meta".split())
-_SVG = rf"<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>(?:<!--.*?-->|<style\b[^>]*+(?<!/)>.*?</style\s*>|<script\b[^>]*+(?<!/)>.*?</script\s*>|(?!</(?:svg|{_BREAKOUT})[\s/>]|<(?:{_BREAKOUT})[\s/>]).)*+(?:</svg\s*>)?"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|select|iframe)\b[^>]*+>.*?(?:</\1\s*>|\Z)|" + _SVG + r"|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>", re.S | re.I)
-_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_BARRIER, _TABLES = ("table", "td", "th", "button", "object"), ("ul", "ol", "dl", "table")
+
+_OPEN = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
@@ -71,58 +82,102 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
-class _Node:
-    __slots__ = ("children", "kind", "path", "region", "tag")
-
-    def __init__(self, tag: str, path: str, kind: int, region: str = ""):
-        self.tag, self.path, self.kind, self.region, self.children = tag, path, kind, region, []
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
 
-def blocks_of(page: str | None) -> tuple[list[tuple[str, int, str, str]], list[tuple[str, str]]]:
+def tags_of(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text before, tag in lower case or empty, whole tag) in page order; what holds no content stands as a blank."""
+    at, n, minded = 0, len(page), True
+    drawings = 0  # open ones
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        before, at, mark = "" if drawings else page[at:i], i, page[i + 1 : i + 2]
+        if mark in ("!", "?"):
+            j = page.find("-->", i + 4) + 3 if page.startswith("<!--", i) else page.find(">", i) + 1
+            at = j if j > i + 1 else n
+            yield before, "", ""
+            continue
+        name = _OPEN.match(page, i)
+        if name is None:
+            yield before + ("" if drawings else "<"), "", ""
+            at = i + 1
+            continue
+        rest = _REST.match(page, name.end()) if minded else None
+        minded = rest is not None
+        end = rest.end() if rest else page.find(">", name.end()) + 1
+        if not end:
+            at = i if not drawings else n
+            yield before, "", ""
+            break
+        at, tag, token = end, name[1].lower(), page[i:end]
+        if tag in RAW and mark != "/" and not (drawings and token.endswith("/>")):
+            close = _RAW_END[tag].search(page, end)
+            at = close.end() if close else n
+            yield before + " ", "", ""
+        elif tag == "svg":
+            drawings = max(0, drawings - 1) if mark == "/" else drawings + (not token.endswith("/>"))
+            yield before + " ", "", ""
+        elif drawings and tag not in BREAKOUT:
+            yield "", "", ""
+        else:
+            drawings = 0
+            yield before, tag, token
+    if at < n and not drawings:
+        yield page[at:], "", ""
+
+
+def kind_of(kind: int, tag: str, names: str) -> int:
+    """What an element's own names say, inside one of ``kind``: -1 furniture, 1 an article, 0 nothing."""
+    if tag in MIDDLE:
+        return 1 if kind >= 0 else -1
+    if tag in ("html", "body"):
+        return kind
+    if tag in FURNITURE or tag in HIDDEN or (tag == "header" and kind < 1):
+        return -1
+    if names and (FURNITURE_PART.search(names) or (VAGUE_NAME if kind == 1 or tag in HEADINGS else VAGUE_PART).search(names)) and not (kind == 1 and tag in HEADINGS):
+        return -1
+    return kind
+
+
+def blocks_of(page: str | None) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, str]]]:
     """Blocks (path, kind, region, text) in page order, and each node's style (path, tags of its children).
 
-    kind: -1 inside furniture, 1 inside an article or main element, 0 elsewhere; region: the path of the innermost
-    furniture element around the block, or empty.
+    Paths are hashes, made step by step; kind: -1 inside furniture, 1 inside an article or main element, 0 elsewhere;
+    region: the path of the innermost furniture element around the block, or 0.
     """
-    root = _Node("", "", 0)
+    root: tuple[str, int, int, int, list[str]] = ("", 0, 0, 0, [])
     stack, nodes = [root], [root]
-    blocks: list[tuple[str, int, str, str]] = []
+    where: dict[str, list[int]] = {}  # open elements by tag, as places in the stack
+    blocks: list[tuple[int, int, int, str]] = []
     text: list[str] = []
 
     def end_block() -> None:
         if text:
             if words := html.unescape("".join(text)).split():
-                blocks.append((stack[-1].path, stack[-1].kind, stack[-1].region, " ".join(words)))
+                blocks.append((*stack[-1][1:4], " ".join(words)))
             text.clear()
 
-    def close(tags: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                end_block()
-                del stack[k:]
-                return
-            if stack[k].tag in within:
-                return
-
-    at, page, head = 0, page or "", False
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-            head = head and not text[-1].strip()
-        at = m.end()
-        token = m[0]
-        name = _TAG.match(token)
-        if name is None or m[1] is not None:
-            if m[1] is not None:
-                text.append(" ")
+    def close(tags: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        top = max((where[t][-1] for t in tags if where.get(t)), default=0)
+        if top > max((where[t][-1] for t in within if where.get(t)), default=0):
+            end_block()
+            for gone in stack[top:]:
+                where[gone[0]].pop()
+            del stack[top:]
+
+    head = False
+    for before, tag, token in tags_of(page or ""):
+        if before:
+            text.append(before)
+            head = head and not before.strip()
+        if not tag:
             continue
-        tag = name[1].lower()
         if tag == "head":
             head = token[1] != "/"
             continue
-        if tag == "svg":  # a whole drawing, or an end without a start
-            text.append(" ")
-            continue
         if head and tag in IN_HEAD:
             continue
         head = False
@@ -135,32 +190,23 @@ def blocks_of(page: str | None) -> tuple[list[tuple[str, int, str, str]], list[t
             close((tag,))
             continue
         if tag in CLOSES_P:
-            close(("p",), frozenset(("table", "td", "th", "button", "object")))
+            close(("p",), _BARRIER)
         if tag in SAME_ENDS:
-            close(SAME_ENDS[tag], frozenset(("ul", "ol", "dl", "table")))
+            close(SAME_ENDS[tag], _TABLES)
         end_block()
         parent = stack[-1]
-        parent.children.append(tag)
+        parent[4].append(tag)
         if tag in VOID or token.endswith("/>"):
             continue
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(token)) if " " in token else ""
-        kind, path = parent.kind, f"{parent.path}/{tag}" + (f".{names.lower()}" if names else "")
-        region = parent.region
-        if tag in MIDDLE and kind >= 0:
-            kind = 1
-        elif tag not in ("html", "body", *MIDDLE) and (tag in FURNITURE or tag in HIDDEN or (tag == "header" and kind < 1) or (names and FURNITURE_NAME.search(names))):
-            kind, region = -1, path
-        node = _Node(tag, path, kind, region)
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(token)).lower() if " " in token or "\n" in token or "\t" in token else ""
+        path, kind = _hash(f"{parent[1]}/{tag}.{names}"), kind_of(parent[2], tag, names)
+        furniture = kind < 0 and (parent[2] >= 0 or kind_of(0, tag, names) < 0)
+        node = (tag, path, kind, path if furniture else parent[3], [])
         nodes.append(node)
+        where.setdefault(tag, []).append(len(stack))
         stack.append(node)
-    if at < len(page):
-        text.append(page[at:])
     end_block()
-    return blocks, [(n.path, " ".join(n.children)) for n in nodes if n.children]
-
-
-def _hash(x: str) -> int:
-    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+    return blocks, [(n[1], " ".join(n[4])) for n in nodes if n[4]]
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
@@ -173,13 +219,13 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 entries: list[tuple] = []
                 blocks, styles = blocks_of(page)
                 seen: set = set()
-                for what, items in ((0, blocks), (1, [(p, 0, "", s) for p, s in styles])):
+                for what, items in ((0, blocks), (1, [(p, 0, 0, s) for p, s in styles])):
                     for path, kind, region, value in items:
                         key = (what, path, _hash(value))
                         if key not in seen:
                             first = (what, path) not in seen
                             seen |= {key, (what, path)}
-                            entries.append((_hash(path), what, key[2], kind, _hash(region), value.count(" ") + 1, int(first)))
+                            entries.append((path, what, key[2], kind, region, value.count(" ") + 1, int(first)))
                 for column, x in zip(columns, (host_of(url), _hash(page or ""), entries), strict=True):
                     column.append(x)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(entry)), strict=True)], names=["host", "page", "entries"])
@@ -191,47 +237,65 @@ def style_counts(pages: DataFrame) -> DataFrame:
     return seen.groupBy("host", "path", "what", "value", "kind").agg(F.max("region").alias("region"), F.max("words").alias("words"), F.count("*").alias("n_pages"), F.sum("first").alias("firsts"))
 
 
-def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, value, kind, region, m, importance, weight) of every text of every node; weight: its important words on all pages."""
+def measured(counts: DataFrame) -> DataFrame:
+    """(host, path, value, kind, region, m, measure, mass) of every text of every node; mass: its words on all pages."""
     nodes = counts.groupBy("host", "path", "what").agg(F.sum("firsts").alias("m"), F.sum(F.col("n_pages") * F.log("n_pages")).alias("nlogn"))
     m, many = F.col("m").cast("double"), F.col("m") > 1
     texts = nodes.where("what = 0").select("host", "path", "m")
     # -sum(p * log_m(p)) with p = n / m, as all of a page's children make one style.
     styles = nodes.where("what = 1").select("host", "path", F.when(many, (F.log(m) - F.col("nlogn") / m) / F.log(m)).otherwise(1.0).alias("shape"))
-    measured = counts.where("what = 0").join(texts, ["host", "path"]).join(styles, ["host", "path"], "left")
+    met = counts.where("what = 0").join(texts.hint("merge"), ["host", "path"]).join(styles.hint("merge"), ["host", "path"], "left")
     content = F.when(many, 1 - F.log("n_pages") / F.log(m)).otherwise(1.0)
-    plain = GAMMA * content + (1 - GAMMA) * F.coalesce("shape", content)
-    return measured.select("host", "path", "value", "kind", "region", "m", plain.alias("importance"), (plain * F.col("words") * F.col("n_pages")).alias("weight"))
+    return met.select("host", "path", "value", "kind", "region", "m", (GAMMA * content + (1 - GAMMA) * F.coalesce("shape", content)).alias("measure"), (F.col("words") * F.col("n_pages")).alias("mass"))
+
+
+def importance(texts: DataFrame) -> DataFrame:
+    """Adds of_node and of_text, the importance of the node and of the single text, as log-odds."""
+    weight = F.sum(F.col("measure") * F.col("mass"))
+    inside = texts.where("kind < 0").groupBy("host", "region").agg(F.max("m").alias("pages"), weight.alias("held")).where(F.col("pages") >= FEW)
+    rest = texts.where("kind >= 0").groupBy("host").agg(weight.alias("rest"), (weight / F.sum("mass")).alias("level"))
+    main = inside.join(rest.hint("merge"), "host", "left").where(F.col("held") >= F.coalesce("rest", F.lit(0.0))).select("host", "region", F.lit(True).alias("main"))
+    nodes = texts.groupBy("host", "path").agg((weight / F.sum("mass")).alias("mean"))
+    known = texts.join(nodes.hint("merge"), ["host", "path"]).join(main.hint("merge"), ["host", "region"], "left").join(rest.select("host", "level").hint("merge"), "host", "left")
+    prior = F.when((F.col("kind") < 0) & F.col("main").isNull(), PRIOR[-1]).when(F.col("kind") > 0, PRIOR[1]).otherwise(PRIOR[0])
+    trust = STEEP * F.when(F.col("m") < FEW, 0.0).otherwise(F.least(F.lit(1.0), F.log("m") / F.log(F.lit(float(SURE)))))
+    pivot = F.when(F.col("kind") == 0, F.greatest(F.lit(0.5), F.coalesce("level", F.lit(0.5)))).otherwise(0.5)
+    return known.select(*texts.columns, (prior + trust * (F.col("mean") - pivot)).alias("of_node"), (prior + trust * (F.col("measure") - 0.5)).alias("of_text"))
+
+
+def removed(judged: DataFrame) -> DataFrame:
+    """(host, path, value): the model; a null value stands for all texts of the node."""
+    nodes = judged.where("of_node < 0").select("host", "path", F.lit(None).cast("long").alias("value")).distinct()
+    return nodes.union(judged.where("of_node >= 0 and of_text < 0").select("host", "path", "value"))
 
 
-def overruled(measured: DataFrame) -> DataFrame:
-    """(host, path, value): the texts of which the measure says otherwise than their names: unimportant ones outside furniture, important ones in it."""
-    outside = F.when(F.col("kind") > 0, (F.col("m") >= SURE) & (F.col("importance") < BARE)).otherwise((F.col("m") >= FEW) & (F.col("importance") < LEAST))
-    inside = measured.where("kind < 0").groupBy("host", "region").agg(F.max("m").alias("pages"), F.sum("weight").alias("held")).where(F.col("pages") >= FEW)
-    rest = measured.where("kind >= 0").groupBy("host").agg(F.sum("weight").alias("rest"))
-    main = inside.join(rest, "host", "left").where(F.col("held") >= F.coalesce("rest", F.lit(0.0))).select("host", "region")
-    kept = measured.where((F.col("kind") < 0) & ((F.col("m") < FEW) | (F.col("importance") >= LEAST))).join(main, ["host", "region"], "left_semi")
-    return measured.where((F.col("kind") >= 0) & outside).select("host", "path", "value").union(kept.select("host", "path", "value"))
+def _text(blocks: list[tuple[int, int, int, str]], gone) -> str:
+    return " ".join(t for k, (path, _, _, t) in enumerate(blocks) if not gone(k, path, t))
 
 
-def _text(blocks: list[tuple[str, int, str, str]], flipped) -> str:
-    return " ".join(t for k, (path, kind, _, t) in enumerate(blocks) if (kind >= 0) != flipped(k, path, t))
+def tree(pages: DataFrame) -> DataFrame:
+    """The model of the pages' hosts, written."""
+    small_batches(pages.sparkSession)
+    counts = stored(style_counts(pages), "html-counts")  # the branches of measured() read them
+    texts = stored(measured(counts), "html-measured")
+    model = stored(removed(importance(texts)), "html-model")
+    release(counts, texts)
+    return model
 
 
-def extract(pages: DataFrame, max_model: int = MAX_MODEL) -> DataFrame:
-    """(page_id, url, text, n_chars) per page."""
+def extract(pages: DataFrame, max_model: int = MAX_MODEL, model: DataFrame | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) per page, by ``model`` or that of the pages themselves."""
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select("page_id", "url", "html")
-    counts = stored(style_counts(rows), "html-counts")  # the branches of importance() read them
-    flips = stored(overruled(stored(importance(counts), "html-measured")), "html-flips")
+    model = tree(rows) if model is None else model
     schema = rows.select("page_id", "url").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
 
     def out(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    if flips.count() <= max_model:
-        sent = spark.sparkContext.broadcast({tuple(r) for r in flips.collect()})
+    if model.count() <= max_model:
+        sent = spark.sparkContext.broadcast({tuple(r) for r in model.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = sent.value
@@ -239,7 +303,7 @@ def extract(pages: DataFrame, max_model: int = MAX_MODEL) -> DataFrame:
                 texts = []
                 for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                     host = host_of(url)
-                    texts.append(_text(blocks_of(page)[0], lambda k, path, t, host=host: bool(known) and (host, _hash(path), _hash(t)) in known))
+                    texts.append(_text(blocks_of(page)[0], lambda k, path, t, host=host: (host, path, None) in known or (host, path, _hash(t)) in known))
                 yield out(batch, texts)
 
         return rows.mapInArrow(run, schema)
@@ -248,22 +312,26 @@ def extract(pages: DataFrame, max_model: int = MAX_MODEL) -> DataFrame:
         for batch in batches:
             found = []
             for page, url, content in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html")), strict=True):
-                found += [(page, host_of(url), _hash(path), _hash(t), k) for k, (path, _, _, t) in enumerate(blocks_of(content)[0])]
+                found += [(page, host_of(url), path, _hash(t), k) for k, (path, _, _, t) in enumerate(blocks_of(content)[0])]
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [[]] * 5, types, strict=True)], names=["page", "host", "path", "value", "k"])
 
-    keyed = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))  # equal pages flip equal blocks
-    flipped = keyed.select("page", "url", "html").mapInArrow(number, "page long, host string, path long, value long, k int").join(flips, ["host", "path", "value"]).groupBy("page").agg(F.collect_set("k").alias("flipped"))
+    keyed = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))  # equal pages lose equal blocks
+    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = keyed.select("page", "url", "html").mapInArrow(number, "page long, host string, path long, value long, k int").withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
+    by_node = salted.where("value is null").drop("value")
+    entries = [placed.join(by_node, ["host", "path", "salt"]), placed.join(salted.where("value is not null"), ["host", "path", "value", "salt"])]
+    gone = entries[0].select("page", "k").union(entries[1].select("page", "k")).groupBy("page").agg(F.collect_set("k").alias("gone"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, flips_of in zip(batch.column("html").to_pylist(), batch.column("flipped").to_pylist(), strict=True):
-                turned = frozenset(flips_of or ())
-                texts.append(_text(blocks_of(page)[0], lambda k, path, t, turned=turned: k in turned))
+            for page, lost in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                known = frozenset(lost or ())
+                texts.append(_text(blocks_of(page)[0], lambda k, path, t, known=known: k in known))
             yield out(batch, texts)
 
-    return keyed.join(flipped, "page", "left").select("page_id", "url", "html", "flipped").mapInArrow(drop, schema)
+    return keyed.join(gone, "page", "left").select("page_id", "url", "html", "gone").mapInArrow(drop, schema)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
