@@ -7,16 +7,17 @@ has the largest cosine with its bundle.
 
 Whole texts are read: letters of any script lower-cased, everything else a word boundary. Learning adds up one
 vector per language in each task, so that only languages times dimensions numbers are gathered; it reads at most
-about MAX_TRAINING texts, chosen by a hash of their id. Scoring has no shuffle. n-gram vectors are rebuilt from
+about MAX_TRAINING texts, chosen by a hash of their id, in equal parts by language, so that rare ones are learned too. Scoring has no shuffle. n-gram vectors are rebuilt from
 their letters when a worker's table is full, so memory is bounded for any script.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties between languages go to the
+Defined cases: a null text, or one without a letter (digits, fractions and marks are none), is ``und`` with score 0; ties between languages go to the
 smaller name; a null language or a null id is never learned from; without any learned language everything is
 ``und``; repeated rows are each scored; empty tables give no rows; only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,24 +26,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import held_out, small_batches
+from tidelane.llm.common import held_out, small_batches, stored
 
 DIMENSIONS = 1024
 ORDER = 3
 SEED = 20_251
 #: Texts that prototypes are learned from, about.
 MAX_TRAINING = 20_000
+#: Languages whose sampling rates are broadcast, not joined by a shuffle.
+MAX_BROADCAST = 10_000
 #: n-grams whose vectors a worker keeps (1 KB each).
 MAX_TABLE = 60_000
-#: Below this cosine a text resembles no learned language.
+#: Below this cosine a text resembles no learned language, whatever its training texts' scores.
 MIN_SCORE = 0.05
+#: Of the training texts' scores, the quantile of which FLOOR_SHARE is the least that a text of the language must reach.
+FLOOR_QUANTILE, FLOOR_SHARE = 0.01, 0.4
 UNKNOWN = "und"
 
 
 @cache
 def letter_table() -> np.ndarray:
-    """For each code point whether it is a letter: alphanumeric, but no decimal digit."""
-    return np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), bool, 0x110000)
+    """For each code point: 2 for a letter (of the Unicode categories L), 1 for a mark that letters carry (M), else 0."""
+    return np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(c)[0], 0) for c in map(chr, range(0x110000))), np.int8, 0x110000)
 
 
 class Profiles:
@@ -81,9 +86,10 @@ class Profiles:
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of the text's letters with their counts; word boundaries are blanks."""
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-        letter = letter_table()[codes]
-        if not letter.any():
+        kind = letter_table()[codes]
+        if not (kind == 2).any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        letter = kind > 0
         codes[~letter] = ord(" ")
         kept = letter.copy()
         kept[1:] |= letter[:-1]  # a blank after each word, and one before the first
@@ -114,14 +120,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def training(docs: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:
+    """(text, lang) of about ``max_training`` documents outside the held-out fold, as many of each language where there are as many."""
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    counts = stored(known.groupBy("lang").count(), "language-counts")
+    n = counts.count()
+    share = max(1, max_training // max(1, n))
+    rates = counts.select("lang", F.when(F.col("count") > share, F.round(1e6 * F.lit(share) / F.col("count"))).otherwise(1e6).cast("long").alias("rate"))
+    return known.join(F.broadcast(rates) if n <= MAX_BROADCAST else rates, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < F.col("rate")).select("text", "lang")
+
+
 def learn(docs: DataFrame, max_training: int = MAX_TRAINING, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """A unit prototype per language, from documents outside the held-out fold."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    n = known.select("doc_id").count()
-    if n > max_training:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < round(1e6 * max_training / n))
+    known = training(docs, max_training)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(dimensions), {}
@@ -163,11 +176,19 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def speakable(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents in a learned language; those without letters or like no language go."""
+def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], max_training: int = MAX_TRAINING) -> dict[str, float]:
+    """Per language the score below which a text is like none of its training texts: FLOOR_SHARE of their FLOOR_QUANTILE, at least MIN_SCORE."""
+    scored = identify(training(docs, max_training), prototypes).where(F.col("lang") == F.col("lang_pred"))
+    low = scored.groupBy("lang").agg(F.percentile("score", F.lit(FLOOR_QUANTILE)).alias("low"))  # bounded by max_training rows
+    return {r["lang"]: max(MIN_SCORE, FLOOR_SHARE * r["low"]) for r in low.collect()}
+
+
+def speakable(docs: DataFrame, prototypes: dict[str, np.ndarray], least: dict[str, float] | None = None) -> DataFrame:
+    """The documents in a learned language; those without letters or, by ``least`` (else MIN_SCORE), like no language go."""
+    floor = F.coalesce(F.create_map(*[F.lit(x) for pair in (least or {"": MIN_SCORE}).items() for x in pair])[F.col("lang_pred")], F.lit(MIN_SCORE))
     named = {c: c if c == "text" else f"c_{c}" for c in docs.columns}  # columns named like a result keep what they hold
     said = identify(docs.select(*[F.col(c).alias(n) for c, n in named.items()]), prototypes)
-    return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*[F.col(n).alias(c) for c, n in named.items()])
+    return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor)).select(*[F.col(n).alias(c) for c, n in named.items()])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
