@@ -9,13 +9,21 @@ length.
 
 The upper tree is fitted on a bounded sample (MAX_SAMPLE projections, chosen by a hash of the id) and then routes
 every row to a cell; cells become blocks of about BLOCK rows, with a kd-tree of their own inside, and a cell of very
-many equal vectors becomes many blocks. Queries are packed into blocks too. A first round searches each query's own
-cell and gives it a bound; a second round meets those pairs of query block and data block whose boxes the
-stopping test leaves open. Results are merged in two levels. No task holds more than a block of each kind.
+many vectors becomes many blocks. Neighbouring cells form a branch of about GROUP blocks; a larger branch has several
+groups. Queries, packed by branch, travel to data; data never travels to queries: a task holds one group of blocks and
+lets packs stream by, and a group that very many packs ask for is repeated, each copy for some of them. A first round searches a
+group of each query's own branch and so gives it a bound; then each pack walks the tree's branches (whose boxes are broadcast: as many as the
+sample has leaves, at most), and only those of its queries that the stopping test leaves open are sent on to a
+branch. Results are merged in two levels. No task holds more than a group and a pack.
+
+Of equal vectors only the k + 1 with the smallest ids are indexed: no query can have others among its k nearest.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
-without an id or with another length than the commonest; a query's candidates are all rows with other ids;
-ties go to the smaller id; fewer candidates than k are all returned; an empty table gives no rows.
+without an id or with another length than the commonest (the longer, if tied), as they have no inner product with those; a query's candidates are all rows with other ids;
+ties go to the smaller id; fewer candidates than k are all returned; of rows with one id and several vectors the
+smallest vector is the query, and as a candidate the id counts once, by its best vector; equal rows count once; an empty table gives no rows; vectors so long or short that
+their squares leave the range of doubles are scaled by a power of two meanwhile (their scores may then be infinite or 0, but are ranked by
+what they stand for); other columns are never read, so their names do no harm.
 """
 
 from __future__ import annotations
@@ -25,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import BATCH_ROWS, small_batches, stored
+from tidelane.llm.common import release, small_batches, stored
 
 K = 20
 #: Projected dimensions; even, so that the chi-square law has a closed form.
@@ -36,10 +44,10 @@ DIMENSIONS = 12
 CONFIDENCE = 0.98
 SEED = 61
 MAX_SAMPLE = 16_384
-#: Rows per block of data, about; vectors per leaf inside; queries per block.
-BLOCK, LEAF, QUERY_BLOCK = 2_048, 64, 512
-#: Cells of the upper tree whose queries share a block: two to this power.
-SHARED_BITS = 2
+#: Rows per block of data, about; vectors per leaf inside; queries per pack.
+BLOCK, LEAF, PACK = 2_048, 64, 512
+#: Blocks that a task holds; packs that a copy of them serves, about.
+GROUP, FAN = 24, 64
 _SALTS = 1 << 24
 _SLACK = 1e-9
 
@@ -113,6 +121,13 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return fine.where(F.size("x") == (common["d"] if common else 0))
 
 
+def indexed(rows: DataFrame, k: int) -> DataFrame:
+    """(vec_id, x) without equal rows, and of equal vectors the k + 1 smallest ids. Most of a common vector's rows go before the shuffle."""
+    same = rows.withColumn("h", F.xxhash64("x"))
+    place = F.dense_rank().over(Window.partitionBy("h", "x").orderBy("vec_id"))
+    return same.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("h", "x", "vec_id").agg(F.lit(1)).select("vec_id", "x")
+
+
 def best(ids: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best (largest score, then smallest id) per query number, each (query, id) once."""
     order = np.lexsort((found, -scores, ids))
@@ -126,51 +141,56 @@ def best(ids: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> np.n
     return order[place < k]
 
 
-def search(queries: dict, block: dict, bound: np.ndarray, largest: float, stop: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query positions, ids, scores) of what a block has to offer; ``bound``: each query's k-th best score so far."""
+def search(queries: dict, blocks: list[dict], bound: np.ndarray, largest: float, stop: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query positions, ids, scores) of what the blocks have to offer, and the queries' k-th best scores by now; ``bound``: those before."""
     qv, qz, qid = queries["x"], queries["z"], queries["id"]
-    xv, xid = block["x"], block["id"]
-    gap = np.maximum(np.maximum(block["low"][None] - qz[:, None], qz[:, None] - block["high"][None]), 0)
-    far = (gap * gap).sum(2)  # from each query to each leaf, in the projection
+    fars = []  # from each query to each leaf, in the projection
+    for block in blocks:
+        gap = np.maximum(np.maximum(block["low"][None] - qz[:, None], qz[:, None] - block["high"][None]), 0)
+        fars.append((gap * gap).sum(2))
+    order = sorted((near, n, leaf) for n, far in enumerate(fars) for leaf, near in enumerate(far.min(0).tolist()))
     reach = largest**2 + (qv * qv).sum(1)
     kth = bound.copy()
     hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     pending = 0
-    for leaf in np.argsort(far.min(0), kind="stable").tolist():
-        live = np.flatnonzero(far[:, leaf] <= stop * np.maximum(reach - 2 * kth, 0) + _SLACK)
+    for _, n, leaf in order:
+        live = np.flatnonzero(fars[n][:, leaf] <= stop * np.maximum(reach - 2 * kth, 0) + _SLACK)
         if not len(live):
             continue
-        rows = slice(leaf * LEAF, (leaf + 1) * LEAF)
-        scores = qv[live] @ xv[rows].T
-        a, b = np.nonzero(scores >= kth[live, None] - _SLACK * np.maximum(1, np.abs(kth[live, None], where=np.isfinite(kth[live, None]), out=np.ones((len(live), 1)))))
-        q, x = live[a], b + rows.start
+        xv, xid = blocks[n]["x"][leaf * LEAF : (leaf + 1) * LEAF], blocks[n]["id"][leaf * LEAF : (leaf + 1) * LEAF]
+        scores = qv[live] @ xv.T
+        least = kth[live, None]
+        a, x = np.nonzero(scores >= least - _SLACK * np.maximum(1, np.abs(np.where(np.isfinite(least), least, 1))))
+        q = live[a]
         other = qid[q] != xid[x]
         q, x = q[other], x[other]
         # The same sum, in the same order, for equal vectors wherever they stand: ties stay ties.
-        hits.append((q, x, (qv[q] * xv[x]).sum(1)))
+        hits.append((q, xid[x], (qv[q] * xv[x]).sum(1)))
         pending += len(q)
         if pending > 4 * k * len(qid):
-            hits, pending = [_shrunk(hits, xid, kth, k)], 0
-    q, x, s = _shrunk(hits, xid, kth, k)
-    return q, xid[x], s
+            hits, pending = [_shrunk(hits, kth, k)], 0
+    return *_shrunk(hits, kth, k), kth
 
 
-def _shrunk(hits: list, xid: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    q, x, s = (np.concatenate([h[c] for h in hits]) if hits else np.empty(0, int) for c in range(3))
-    keep = best(q, xid[x], s, k)
-    q, x, s = q[keep], x[keep], s[keep]
+def _shrunk(hits: list, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    q, v, s = (np.concatenate([np.empty(0, t), *(h[c] for h in hits)]) for c, t in enumerate((np.int64, np.int64, float)))
+    keep = best(q, v, s, k)
+    q, v, s = q[keep], v[keep], s[keep]
     full = np.bincount(q, minlength=len(kth)) >= k
     if full.any():
         least = np.full(len(kth), np.inf)
         np.minimum.at(least, q, s)
         kth[full] = np.maximum(kth[full], least[full])
-    return q, x, s
+    return q, v, s
 
 
-_PACKED = "id binary, x binary, z binary, low binary, high binary"
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
 
 
-def _pack(dimensions: int):
+def _pack_block(dimensions: int):
+    """A block of data as one row, its vectors in leaves of a kd-tree."""
+
     def run(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("vec_id").to_pylist(), np.int64)
         x = np.frombuffer(b"".join(table.column("x").to_pylist())).reshape(-1, dimensions)
@@ -179,29 +199,68 @@ def _pack(dimensions: int):
         ids, x, z = ids[order], x[order], z[order]
         cuts = range(0, len(ids), LEAF)
         low, high = (np.stack([f(z[c : c + LEAF], axis=0) for c in cuts]) for f in (np.min, np.max))
-        return pa.table({"block": table.column("block").slice(0, 1), "cell": table.column("cell").slice(0, 1), **{n: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for n, v in (("id", ids), ("x", x), ("z", z), ("low", low), ("high", high))}, "near": pa.array([low.min(0).tolist()], pa.list_(pa.float64())), "away": pa.array([high.max(0).tolist()], pa.list_(pa.float64()))})
+        return pa.table({"grp": table.column("grp").slice(0, 1), "branch": table.column("branch").slice(0, 1), "id": _bytes(ids), "x": _bytes(x), "low": _bytes(low), "high": _bytes(high), "near": pa.array([low.min(0).tolist()], pa.list_(pa.float64())), "away": pa.array([high.max(0).tolist()], pa.list_(pa.float64()))})
+
+    return run, "grp long, branch long, id binary, x binary, low binary, high binary, near array<double>, away array<double>"
+
 
-    return run, f"block long, cell long, {_PACKED}, near array<double>, away array<double>"
+def _pack_queries(table: pa.Table) -> pa.Table:
+    return pa.table({"q": table.column("q").slice(0, 1), "branch": table.column("branch").slice(0, 1), **{n: pa.array([b"".join(table.column(c).to_pylist())], pa.binary()) for n, c in (("id", "raw_id"), ("x", "x"), ("z", "z"))}})
 
 
-def _unpacked(row: dict, prefix: str, dimensions: int) -> dict:
-    get = lambda c, w: np.frombuffer(row[prefix + c]).reshape(-1, w)
-    return {"id": np.frombuffer(row[prefix + "id"], np.int64), "x": get("x", dimensions), "z": get("z", DIMENSIONS), "low": get("low", DIMENSIONS), "high": get("high", DIMENSIONS)}
+def _queries(row: dict, dimensions: int) -> dict:
+    return {"id": np.frombuffer(row["id"], np.int64), "x": np.frombuffer(row["x"]).reshape(-1, dimensions), "z": np.frombuffer(row["z"]).reshape(-1, DIMENSIONS)}
 
 
-def _searched(pairs: DataFrame, dimensions: int, largest: float, k: int) -> DataFrame:
-    """(q, part, qid, vid, score): the packed results of each pair of query block and data block."""
+_FOUND = "q long, part long, home long, qid binary, vid binary, score binary, id binary, x binary, z binary, bound binary"
+
+
+def _searched(packs: DataFrame, data: DataFrame, dimensions: int, largest: float, k: int, whole: bool) -> DataFrame:
+    """The packed results of packs (q, grp, id, x, z, bound) in the groups they are sent to; ``whole``: with the packs and their new bounds."""
     stop = chi_square_quantile(CONFIDENCE, DIMENSIONS)
+    copies = packs.groupBy("grp").agg((F.floor((F.count("*") - 1) / FAN) + 1).alias("copies"))
+    sent = packs.join(copies.hint("merge"), "grp").select("grp", F.pmod(F.xxhash64("q"), F.col("copies")).alias("copy"), F.lit(1).alias("kind"), "q", "id", "x", "z", F.lit(None).cast("binary").alias("low"), F.lit(None).cast("binary").alias("high"), "bound")
+    held = data.join(copies.hint("merge"), "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("q"), "id", "x", F.lit(None).cast("binary").alias("z"), "low", "high", F.lit(None).cast("binary").alias("bound"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, of, fresh = [], None, True
         for batch in batches:
-            for row in batch.to_pylist():
-                queries, block = _unpacked(row, "q_", dimensions), _unpacked(row, "b_", dimensions)
+            for k_at in range(batch.num_rows):
+                row = {c: batch.column(c)[k_at].as_py() for c in batch.schema.names}
+                if of != (row["grp"], row["copy"]):
+                    blocks, of = [], (row["grp"], row["copy"])
+                if row["kind"] == 0:
+                    get = lambda c, w, row=row: np.frombuffer(row[c]).reshape(-1, w)
+                    blocks.append({"id": np.frombuffer(row["id"], np.int64), "x": get("x", dimensions), "low": get("low", DIMENSIONS), "high": get("high", DIMENSIONS)})
+                    continue
+                queries = _queries(row, dimensions)
                 bound = np.frombuffer(row["bound"]) if row["bound"] else np.full(len(queries["id"]), -np.inf)
-                q, v, s = search(queries, block, bound, largest, stop, k)
-                yield pa.record_batch([pa.array([row["q"]], pa.int64()), pa.array([row["part"]], pa.int64()), *(pa.array([np.ascontiguousarray(z).tobytes()], pa.binary()) for z in (queries["id"][q], v, s))], names=["q", "part", "qid", "vid", "score"])
+                q, v, s, kth = search(queries, blocks, bound, largest, stop, k)
+                own = [pa.array([row[c]], pa.binary()) for c in ("id", "x", "z")] + [_bytes(kth)] if whole else [pa.nulls(1, pa.binary())] * 4
+                yield pa.record_batch([pa.array([row["q"]], pa.int64()), pa.array([row["grp"]], pa.int64()), pa.array([row["grp"]], pa.int64()), _bytes(queries["id"][q]), _bytes(v), _bytes(s), *own], names=["q", "part", "home", "qid", "vid", "score", "id", "x", "z", "bound"])
+
+    met = held.union(sent).repartition("grp", "copy").sortWithinPartitions("grp", "copy", "kind", "q")
+    return met.mapInArrow(run, _FOUND)
+
+
+def _walked(once: DataFrame, boxes: list[tuple], dimensions: int, largest: float) -> DataFrame:
+    """(branch, q, home, id, x, z, bound): the queries of each pack that the stopping test leaves open, by branch of the tree."""
+    stop = chi_square_quantile(CONFIDENCE, DIMENSIONS)
+    sent = once.sparkSession.sparkContext.broadcast(([b[0] for b in boxes], np.array([b[1] for b in boxes]), np.array([b[2] for b in boxes])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, low, high = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                queries, bound = _queries(row, dimensions), np.frombuffer(row["bound"])
+                open_ = stop * np.maximum(largest**2 + (queries["x"] ** 2).sum(1) - 2 * bound, 0) + _SLACK
+                for name, a, z in zip(names, low, high, strict=True):
+                    gap = np.maximum(np.maximum(a - queries["z"], queries["z"] - z), 0)
+                    live = np.flatnonzero((gap * gap).sum(1) <= open_)
+                    if len(live):
+                        yield pa.record_batch([pa.array([name], pa.int64()), pa.array([row["q"]], pa.int64()), pa.array([row["home"]], pa.int64()), *(_bytes(queries[c][live]) for c in ("id", "x", "z")), _bytes(bound[live])], names=["branch", "q", "home", "id", "x", "z", "bound"])
 
-    return pairs.mapInArrow(run, "q long, part long, qid binary, vid binary, score binary")
+    return once.select("q", "home", "id", "x", "z", "bound").mapInArrow(run, "branch long, q long, home long, id binary, x binary, z binary, bound binary")
 
 
 def _merged(parts: DataFrame, k: int) -> DataFrame:
@@ -213,81 +272,70 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
     return parts.groupBy("q", "part").applyInArrow(run, "q long, part long, qid binary, vid binary, score binary")
 
 
-def _bounds(queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
-    """(q, bound): each query's k-th best score of the first round, in the block's order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["id"], np.int64)
-                bound = np.full(len(ids), -np.inf)
-                q, s = np.frombuffer(row["qid"] or b"", np.int64), np.frombuffer(row["score"] or b"")
-                for k_at, i in enumerate(ids.tolist()):
-                    own = s[q == i]
-                    if len(own) >= k:
-                        bound[k_at] = own.min()
-                yield pa.record_batch([pa.array([row["block"]], pa.int64()), pa.array([bound.tobytes()], pa.binary()), pa.array([float(bound.min())], pa.float64())], names=["q", "bound", "least"])
-
-    return queries.join(first, queries["block"] == first["q"], "left").select("block", "id", "qid", "score").mapInArrow(run, "q long, bound binary, least double")
-
-
 def neighbours(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = stored(usable(vectors), "near-rows")
-    n, dimensions, norm2 = rows.agg(F.count("*"), F.max(F.size("x")), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()
-    if not n or rows.where(F.col("vec_id") % every == 0).isEmpty():
+    fine = usable(vectors)
+    questions = stored(fine.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")), "near-questions")
+    rows = stored(indexed(fine, k), "near-rows")
+    n, dimensions, most = rows.agg(F.count("*"), F.max(F.size("x")), F.max(F.array_max(F.transform("x", F.abs)))).first()
+    if not n or questions.isEmpty():
         return empty
-    largest = math.sqrt(norm2) * (1 + 1e-12)
+    exponent = math.frexp(most)[1]
+    scale = 0 if -400 < exponent < 400 else -exponent  # a power of two changes no digit
+    grown = F.transform("x", lambda v: v * F.lit(math.ldexp(1.0, scale // 2)) * F.lit(math.ldexp(1.0, scale - scale // 2)))
+    if scale:
+        rows, questions = (df.withColumn("x", grown) for df in (rows, questions))
+    largest = math.sqrt(rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0]) * (1 + 1e-12)
     matrix = projection(dimensions)
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_000)) < math.ceil(1e6 * min(1, 0.95 * MAX_SAMPLE / n))).select("x").limit(MAX_SAMPLE).toPandas()
     points = augmented(np.array(sample["x"].tolist(), float).reshape(-1, dimensions), largest) @ matrix
     depth = min(max(0, math.ceil(math.log2(n / BLOCK))), max(0, int(math.log2(max(1, len(points) / 4)))))
     cells = Cells(points, depth)
+    bits = min(depth, max(0, int(math.log2(max(1, GROUP * BLOCK * 2**depth / n)))))  # cells of a branch: two to this power
 
     def place(further):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = np.array(batch.column(1).to_pylist(), float).reshape(-1, dimensions)
                 z = further(x) @ matrix
-                yield pa.record_batch([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in z], pa.binary()), pa.array(cells.of(z), pa.int64())], names=["vec_id", "x", "z", "cell"])
+                yield pa.record_batch([batch.column(0), pa.array([v.tobytes() for v in batch.column(0).to_numpy()], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in z], pa.binary()), pa.array(cells.of(z), pa.int64())], names=["vec_id", "raw_id", "x", "z", "cell"])
 
-        return run, "vec_id long, x binary, z binary, cell long"
+        return run, "vec_id long, raw_id binary, x binary, z binary, cell long"
 
     small_batches(spark)
-    placed = stored(rows.mapInArrow(*place(lambda x: augmented(x, largest))), "near-placed")
-    questions = stored(rows.where(F.col("vec_id") % every == 0).mapInArrow(*place(lambda x: np.pad(x, ((0, 0), (0, 1))))), "near-questions")
-    pack, packed = _pack(dimensions)
-
-    def blocks(some: DataFrame, cell, size: int, name: str) -> DataFrame:
-        celled = some.withColumn("cell", cell)
-        counts = celled.groupBy("cell").agg((F.floor((F.count("*") - 1) / size) + 1).alias("salts"))  # as many rows as the sample has leaves, at most
-        salted = celled.join(F.broadcast(counts), "cell").withColumn("block", F.col("cell") * _SALTS + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("salts")))
-        return stored(salted.select("block", "cell", "vec_id", "x", "z").groupBy("block").applyInArrow(pack, packed), name)
-
-    data = blocks(placed, F.col("cell"), BLOCK, "near-data")
-    asked = blocks(questions, F.shiftright("cell", SHARED_BITS), QUERY_BLOCK, "near-asked")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # rows are whole blocks here
+    placed = stored(rows.select("vec_id", "x").mapInArrow(*place(lambda x: augmented(x, largest))), "near-placed")
+    asked = stored(questions.select("vec_id", "x").mapInArrow(*place(lambda x: np.pad(x, ((0, 0), (0, 1))))).withColumn("branch", F.shiftright("cell", bits)), "near-asked")
+    # As many cells as the sample has leaves, at most. Blocks are numbered within their branch, and so fall into groups.
+    counts = placed.groupBy("cell").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("salts")).withColumn("branch", F.shiftright("cell", bits))
+    before = Window.partitionBy("branch").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored(counts.withColumn("first", F.coalesce(F.sum("salts").over(before), F.lit(0))), "near-cells")
+    salted = placed.join(F.broadcast(counts), "cell").withColumn("number", F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("salts")))
+    pack, packed = _pack_block(dimensions)
+    data = stored(salted.withColumn("grp", F.col("branch") * _SALTS + F.expr(f"number div {GROUP}")).groupBy("branch", "number").applyInArrow(pack, packed), "near-data")
+    release(placed)
+    packs = asked.groupBy("branch").agg((F.floor((F.count("*") - 1) / PACK) + 1).alias("packs"))
+    homed = asked.join(F.broadcast(packs), "branch").withColumn("q", F.col("branch") * _SALTS + F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("packs")))
+    asked_packs = stored(homed.select("q", "branch", "raw_id", "x", "z").groupBy("q").applyInArrow(_pack_queries, "q long, branch long, id binary, x binary, z binary"), "near-packs")
+    key, kept = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "8")  # rows are whole blocks here
     try:
-        side = lambda df, p: df.select(F.col("block").alias(f"{p}_block"), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "x", "z", "low", "high")])
-        home = data.groupBy("cell").agg(F.min("block").alias("part")).withColumn("own", F.shiftright("cell", SHARED_BITS))
-        homes = asked.select(F.col("block").alias("q"), F.col("cell").alias("own")).join(home, "own").select("q", "part")
-        meet = lambda pairs, with_bound: pairs.join(side(asked, "q"), F.col("q") == F.col("q_block")).join(side(data, "b"), F.col("part") == F.col("b_block")).select("q", "part", F.col("bound") if with_bound else F.lit(None).cast("binary").alias("bound"), *[f"{p}_{c}" for p in "qb" for c in ("id", "x", "z", "low", "high")])
-        once = stored(_searched(meet(homes, False), dimensions, largest, k), "near-once")
-        first = stored(_merged(once.withColumn("part", F.lit(0).cast("long")), k), "near-first")
-        bounds = stored(_bounds(asked, first, k), "near-bounds")
-        # Blocks against blocks: the stated queries against all rows, less what the boxes rule out.
-        boxes = asked.select(F.col("block").alias("q"), F.col("near").alias("qn"), F.col("away").alias("qa")).join(bounds, "q")
-        span = F.expr("aggregate(zip_with(arrays_zip(qn, qa), arrays_zip(near, away), (u, v) -> greatest(v.near - u.qa, u.qn - v.away, 0d)), 0d, (s, g) -> s + g * g)")
-        reach = F.lit(chi_square_quantile(CONFIDENCE, DIMENSIONS)) * F.greatest(F.lit(2 * largest**2) - 2 * F.col("least"), F.lit(0.0)) + F.lit(_SLACK)
-        others = boxes.crossJoin(data.select(F.col("block").alias("part"), "near", "away")).where(span <= reach).select("q", "part", "bound").join(homes, ["q", "part"], "left_anti")
-        rest = stored(_searched(meet(others, True), dimensions, largest, k), "near-rest")
-        spread = math.isqrt(data.count()) + 1
-        level = stored(_merged(once.union(rest).withColumn("part", F.pmod(F.xxhash64("part"), F.lit(spread))), k), "near-level")
+        groups = stored(data.select("branch", "grp").distinct(), "near-groups")
+        homes = groups.groupBy("branch").agg(F.min("grp").alias("grp"), F.count("*").alias("n"))
+        homeless = asked_packs.join(homes, "branch", "left_anti").select("q", F.lit(groups.agg(F.min("grp")).first()[0]).alias("grp"), "id", "x", "z")
+        at_home = asked_packs.join(homes, "branch").select("q", (F.col("grp") + F.pmod("q", "n")).alias("grp"), "id", "x", "z").union(homeless)
+        once = stored(_searched(at_home.withColumn("bound", F.lit(None).cast("binary")), data, dimensions, largest, k, True), "near-once")
+        boxes = [(r["branch"], r["low"], r["high"]) for r in data.select("branch", F.posexplode("near").alias("i", "low"), F.col("away")).withColumn("high", F.element_at("away", F.col("i") + 1)).groupBy("branch", "i").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy("branch").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("b")).select("branch", F.col("b.low").alias("low"), F.col("b.high").alias("high")).orderBy("branch").collect()]
+        others = _walked(once, boxes, dimensions, largest).join(groups.hint("merge"), "branch").where("grp <> home").select("q", "grp", "id", "x", "z", "bound")
+        rest = stored(_searched(stored(others, "near-others"), data, dimensions, largest, k, False), "near-rest")
+        spread = math.isqrt(groups.count()) + 1
+        found = once.select("q", "part", "qid", "vid", "score").union(rest.select("q", "part", "qid", "vid", "score"))
+        level = stored(_merged(found.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(spread))), k), "near-level")
         whole = stored(_merged(level.withColumn("part", F.lit(0).cast("long")), k), "near-whole")
+        release(data, asked, asked_packs, once, rest, level)
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set(key, kept)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +343,8 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
                 q, v, s = np.frombuffer(row["qid"], np.int64), np.frombuffer(row["vid"], np.int64), np.frombuffer(row["score"])
                 starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.empty(0, int)
                 rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) + 1
-                yield pa.record_batch([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(v), pa.array(s)], names=["query_id", "rank", "vec_id", "score"])
+                with np.errstate(over="ignore", under="ignore"):
+                    yield pa.record_batch([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(v), pa.array(np.ldexp(s, -2 * scale))], names=["query_id", "rank", "vec_id", "score"])
 
     return whole.mapInArrow(rows_of, "query_id long, rank int, vec_id long, score double")
 
