@@ -27,9 +27,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--num-processes", default=None, help="a number or 'all'; Spark's own parallelism applies")
     p.add_argument("--no-store-fragment-end-clipped", action="store_true")
     p.add_argument("--skip-chunking", action="store_true", help="no effect: partitions follow the data")
-    p.add_argument("--quiet", dest="level", action="store_const", const=logging.ERROR, default=logging.WARNING)
-    p.add_argument("--verbose", dest="level", action="store_const", const=logging.INFO)
-    p.add_argument("--debug", dest="level", action="store_const", const=logging.DEBUG)
+    how_much = p.add_mutually_exclusive_group()
+    for flags, level in ((("--quiet", "-q"), logging.ERROR), (("--verbose", "-v"), logging.INFO), (("--debug",), logging.DEBUG)):
+        how_much.add_argument(*flags, dest="level", action="store_const", const=level, default=logging.WARNING)
     p.add_argument("--log-format", default="%(levelname)s %(name)s %(message)s")
     p.add_argument("--log-filename")
     p.add_argument("--log-file-verbosity-level", choices=["ERROR", "WARNING", "INFO", "DEBUG"])
@@ -73,9 +73,13 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.errors import AnalysisException
     from pyspark.sql import SparkSession
 
+    from tidelane.operators.store import exists
     from tidelane.plans.build import build_store
 
     spark = SparkSession.builder.appName("tidelane").getOrCreate()
+    if exists(spark, a.output):
+        logging.getLogger(__name__).error("the output %s exists already; remove it or name another", a.output)
+        return 1
     try:
         build_store(spark, a.input, a.output, a.fasta, a.contigs, set_mapq_255_to_none=a.set_mapq_255_to_none, read_strand=not a.exclude_strand, read_methyl=a.read_methyl, single_end=a.single_end, se_max_fragment_length=a.se_max_fragment_length, include_duplicates=a.include_duplicates, store_fragment_end_clipped=not a.no_store_fragment_end_clipped, contig_name_map=names, min_mapq=a.min_mapq, build_argv=argv)
     except (ValueError, KeyError, AnalysisException) as e:

@@ -18,7 +18,7 @@ _SIXTHS = {6: "CGS", 4: "BV", 3: "KMRYXN", 2: "HD"}
 
 
 def count_letters(sequence: Column, letters: str) -> Column:
-    return F.length(F.regexp_replace(sequence, f"[^{letters}]", "")).cast("long")
+    return (F.length(sequence) - F.length(F.translate(sequence, letters, ""))).cast("long")
 
 
 def gc_sixths(sequence: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelane.functions.sequences import gc_sixths
 
-BLOCK = 1_024
+BLOCK = 512
 
 
 def reference_blocks(sequences: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -15,15 +15,15 @@ def reference_blocks(sequences: DataFrame, block: int = BLOCK) -> DataFrame:
 
     gc_before is the weight of C and G ahead of the block, in sixths. Its running sum is over one contig's blocks.
     """
-    n = F.length("sequence")
-    cut = sequences.select("contig", F.explode(F.sequence(F.lit(0), F.floor(n / block).cast("int"))).alias("block_id"), "sequence").select("contig", "block_id", F.substr("sequence", F.col("block_id") * block + 1, F.lit(block)).alias("seq"))
-    return with_running_gc(cut)
+    pieces = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))  # one pass over the sequence
+    ended = F.when(F.length("sequence") % block == 0, F.concat(pieces, F.array(F.lit("")))).otherwise(pieces)
+    return with_running_gc(sequences.where(F.col("sequence").isNotNull()).select("contig", F.posexplode(ended).alias("block_id", "seq")))
 
 
 def with_running_gc(blocks: DataFrame) -> DataFrame:
+    """Adds gc_before. A window holds one contig's blocks, so its size is bounded by the longest sequence, however many fragments there are."""
     before = Window.partitionBy("contig").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocks.select("contig", "block_id", gc_sixths(F.col("seq")).alias("w")).select("contig", "block_id", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("gc_before"))
-    return blocks.join(sums, ["contig", "block_id"])
+    return blocks.withColumn("w", gc_sixths(F.col("seq"))).withColumn("gc_before", F.coalesce(F.sum("w").over(before), F.lit(0))).drop("w")
 
 
 def with_gc(fragments: DataFrame, blocks: DataFrame, block: int = BLOCK) -> DataFrame:

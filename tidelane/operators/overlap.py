@@ -11,20 +11,27 @@ from tidelane.functions.intervals import MAX_LENGTH
 BIN = 5_000
 #: Regions that are broadcast; more are joined by bins in a shuffle.
 MAX_BROADCAST_REGIONS = 10_000
+#: Fragments of a bin per salt, where the join is a shuffle: bins of deep coverage are split.
+BIN_ROWS = 50_000
 
 
-def overlaps(contig: str, start: int, stop: int, max_length: int = MAX_LENGTH, midpoint: bool = False) -> Column:
-    """Fragments that overlap [start, stop) and are no longer than ``max_length``.
+def overlaps(contig: str | None, start: int, stop: int, max_length: int = MAX_LENGTH, midpoint: bool = False) -> Column:
+    """Fragments that overlap [start, stop), of one contig or (None) of every one, and are no longer than ``max_length``.
 
     The lower bound on the start follows from the others; it is there for Parquet's statistics, which can't use a sum.
     """
-    fits = (F.col("contig") == contig) & (F.col("start") < stop) & (F.col("start") >= start - max_length) & (F.col("stop") > start) & (F.col("length") <= max_length)
+    fits = (F.lit(True) if contig is None else F.col("contig") == contig) & (F.col("start") < stop) & (F.col("start") >= start - max_length) & (F.col("stop") > start) & (F.col("length") <= max_length)
     if midpoint:
         middle = F.col("start") - start + F.floor(F.col("length") / 2)
         fits = fits & (middle >= 0) & (middle < stop - start)
     return fits
 
 
+def by_chunk(fragments: DataFrame, width: int) -> DataFrame:
+    """Adds the chunk of its contig that owns each fragment: the one that its start lies in."""
+    return fragments.withColumn("chunk", F.expr(f"cast(start div {width} as int)"))
+
+
 def length_histogram(fragments: DataFrame, by_contig: bool = False, longest: int = MAX_LENGTH) -> DataFrame:
     """(length, n) for every length from 0 to ``longest``, zeros included; per contig only lengths that occur."""
     if by_contig:
@@ -38,7 +45,8 @@ def overlap_join(fragments: DataFrame, regions: DataFrame, max_length: int = MAX
     """Every (region, fragment) pair that a single-region query would give; regions: (region_id, contig, region_start, region_stop).
 
     Both sides are cut into bins; a pair counts in the later of its two first bins only. Regions are few against
-    fragments: up to ``max_broadcast`` of them are broadcast, so that fragments aren't shuffled.
+    fragments: up to ``max_broadcast`` of them are broadcast, so that fragments aren't shuffled. Beyond, bins with more
+    than BIN_ROWS fragments are salted: their fragments are dealt out by a hash, their regions repeated.
     """
     first = lambda c: F.floor(F.greatest(F.col(c), F.lit(0)) / BIN)
     last = lambda stop, start: F.floor(F.greatest(F.col(stop) - 1, F.col(start), F.lit(0)) / BIN)
@@ -49,4 +57,11 @@ def overlap_join(fragments: DataFrame, regions: DataFrame, max_length: int = MAX
         middle = F.col("start") - F.col("region_start") + F.floor(F.col("length") / 2)
         fits = fits & (middle >= 0) & (middle < F.col("region_stop") - F.col("region_start"))
     few = regions.limit(max_broadcast + 1).count() <= max_broadcast
-    return f.join(F.broadcast(r) if few else r, fits).drop("f_first", "f_bin", "r_first", "r_bin", "r_contig")
+    helpers = ("f_first", "f_bin", "r_first", "r_bin", "r_contig")
+    if few:
+        return f.join(F.broadcast(r), fits).drop(*helpers)
+    deep = f.groupBy("contig", "f_bin").agg(F.count("*").alias("d_n")).where(F.col("d_n") > BIN_ROWS).select(F.col("contig").alias("d_contig"), F.col("f_bin").alias("d_bin"), (F.floor(F.col("d_n") / BIN_ROWS) + 1).alias("salts"))
+    salts = lambda df, contig, at: df.join(deep, (F.col(contig) == F.col("d_contig")) & (F.col(at) == F.col("d_bin")), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    f_salted = salts(f, "contig", "f_bin").withColumn("f_salt", F.pmod(F.xxhash64(*fragments.columns), F.col("salts"))).drop("d_contig", "d_bin", "salts")
+    r_salted = salts(r, "r_contig", "r_bin").withColumn("r_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("d_contig", "d_bin", "salts")
+    return f_salted.join(r_salted, fits & (F.col("f_salt") == F.col("r_salt"))).drop(*helpers, "f_salt", "r_salt")

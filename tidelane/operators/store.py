@@ -17,18 +17,29 @@ INDEX_BLOCK = 5_000
 
 
 def write_store(fragments: DataFrame, path: str, facts: dict) -> None:
-    """Sorted by contig, start and input order over range partitions; an existing store is an error, and so is an empty one."""
-    if fragments.isEmpty():
-        raise ValueError("No fragments were extracted")
+    """Sorted by contig, start and input order over range partitions; an existing store is an error, and so is an empty one, which leaves nothing behind."""
     ordered = fragments.repartitionByRange("contig", "start").sortWithinPartitions("contig", "start", "ord")
     ordered.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/data")
     spark = fragments.sparkSession
-    written = spark.read.parquet(f"{path}/data")
+    written = spark.read.schema(fragments.schema).parquet(f"{path}/data")
     n, longest = written.agg(F.count("*"), F.max("length")).first()
+    if not n:
+        _delete(spark, path)
+        raise ValueError("No fragments were extracted")
     whole = {"index_block_size": INDEX_BLOCK, "max_fragment_length": MAX_LENGTH, "n_fragments": n, "observed_max_length": longest, **facts}
     spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/facts")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 class FragmentStore:
     """Queries on a store. Holds the path and the facts only, so it can be pickled and sent; ``open`` gives it a session again."""
 

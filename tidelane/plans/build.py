@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.functions import alignments as A
-from tidelane.functions.intervals import MAX_LENGTH, gc_quantize
+from tidelane.functions.intervals import MAX_LENGTH, checked_gc, gc_quantize
 from tidelane.operators.gc import with_gc, with_running_gc
 from tidelane.operators.store import METHYL_COLUMNS, FragmentStore, write_store
 from tidelane.sources import binary, text
@@ -54,6 +54,17 @@ def interval_fragments(spark: SparkSession, path: str) -> DataFrame:
     return text.read_intervals(spark, path).select("contig", "start", "stop", "length", null("int").alias("mapq1"), null("int").alias("mapq2"), "strand", "cell_barcode", null("boolean").alias("fragment_end_clipped"), "ord")
 
 
+def of_contigs(rows: DataFrame, contigs: list[str], column: str = "contig") -> DataFrame:
+    """Only rows of the allowed contigs."""
+    return rows.where(F.col(column).isin(contigs))
+
+
+def within_contigs(fragments: DataFrame, lengths: dict[str, int]) -> DataFrame:
+    """Fragments of the contigs that start before their contig's end; as many lengths as a genome has contigs."""
+    limits = fragments.sparkSession.createDataFrame(list(lengths.items()) or [("", 0)], "contig string, contig_length long")
+    return fragments.join(F.broadcast(limits), "contig").where(F.col("start") < F.col("contig_length")).drop("contig_length")
+
+
 def check_lengths(source: dict[str, int], reference: dict[str, int]) -> None:
     for contig in sorted(set(source) & set(reference)):
         if source[contig] != reference[contig]:
@@ -98,17 +109,15 @@ def build_store(spark: SparkSession, source: str, path: str, fasta: str | None =
         if contigs is not None:
             lengths = {c: lengths[c] for c in contigs}  # an unknown name is a KeyError
         common = {"min_mapq": min_mapq or 0, "include_duplicates": include_duplicates, "mapq_255_to_null": set_mapq_255_to_none}
-        rows = rows.where(F.col("rname").isin(list(lengths)))
+        rows = of_contigs(rows, list(lengths), "rname")
         if single_end:
             found = single_fragments(rows, **common, max_length=se_max_fragment_length)
         else:
             check_lengths({names.get(c, c): n for c, n in lengths.items()}, reference)
             found = paired_fragments(rows, **common, methyl=read_methyl)
-    limits = spark.createDataFrame(list(lengths.items()) or [("", 0)], "contig string, contig_length long")
-    found = found.join(F.broadcast(limits), "contig").where(F.col("start") < F.col("contig_length")).drop("contig_length")
-    found = text.rename_contigs(found, names)
+    found = text.rename_contigs(within_contigs(found, lengths), names)
     if blocks is not None:
-        found = with_gc(found, blocks).withColumn("gc_code", gc_quantize(F.col("gc"))).drop("gc", "gc_sixths")
+        found = with_gc(found, blocks).withColumn("gc_code", gc_quantize(checked_gc(F.col("gc")))).drop("gc", "gc_sixths")
     drop = ["cell_barcode", *["strand"] * (not read_strand), *["fragment_end_clipped"] * (not store_fragment_end_clipped)]
     facts = {"source_format": source_format, "header": header, "contig_lengths": {names.get(c, c): n for c, n in lengths.items()}, "build_version": VERSION}
     write_store(found.drop(*drop), path, facts | ({"build_argv": build_argv} if build_argv else {}))

@@ -6,16 +6,19 @@ views below are integer arithmetic, written once in SQL that both engines read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions import alignments as A
+from tidelane.functions import fragment as G
 from tidelane.functions import intervals as I
 from tidelane.functions import sequences as S
 from tidelane.operators.gc import reference_blocks, with_gc
-from tidelane.operators.overlap import length_histogram, overlap_join, overlaps
-from tidelane.plans.build import paired_fragments
-from tidelane.sources.text import parse_intervals
+from tidelane.operators.overlap import by_chunk, length_histogram, overlap_join, overlaps
+from tidelane.operators.scratch import scratch_path
+from tidelane.operators.store import FragmentStore, write_store
+from tidelane.plans.build import of_contigs, paired_fragments, single_fragments, within_contigs
+from tidelane.sources.text import marked_intervals, parse_intervals, parse_sam, rename_contigs, skip_counts
 
 FRAGMENTS = """
 SELECT *, start + length AS stop FROM (
@@ -59,7 +62,7 @@ SELECT l_orderkey * 8 + l_linenumber AS ord,
 FROM lineitem
 """
 REGION = ("chr7", 250_000, 300_000)
-REGIONS = "SELECT o_orderkey AS region_id, 'chr' || (o_custkey % 22 + 1) AS contig, CAST((o_orderkey * 613) % 995000 AS INT) AS region_start, CAST((o_orderkey * 613) % 995000 + 5000 AS INT) AS region_stop FROM orders WHERE o_orderkey % 3 = 0"
+REGIONS = "SELECT o_orderkey AS region_id, 'chr' || (o_custkey % 22 + 1) AS contig, CAST((o_orderkey * 613) % 995000 AS INT) AS region_start, CAST((o_orderkey * 613) % 995000 + 5000 AS INT) AS region_stop FROM orders"
 _CLEAN = "regexp_replace(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGTN]', ''{g})"
 
 
@@ -110,7 +113,7 @@ def overlap_midpoint(v):
 
 @_query("SELECT contig, count(*)::BIGINT AS n, sum(length)::BIGINT AS bases FROM v WHERE start < 300000 AND stop > 250000 GROUP BY contig")
 def overlap_counts(v):
-    return v.where("start < 300000 and start >= 250000 - 65535 and stop > 250000").groupBy("contig").agg(F.count("*").alias("n"), F.sum("length").alias("bases"))
+    return v.where(overlaps(None, 250_000, 300_000)).groupBy("contig").agg(F.count("*").alias("n"), F.sum("length").alias("bases"))
 
 
 QUERIES["overlap_join_regions"] = lambda spark, d: overlap_join(_view(spark, d, FRAGMENTS), _view(spark, d, REGIONS, "orders")).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("length").alias("bases"))
@@ -129,9 +132,73 @@ def length_histogram_by_contig(v):
     return length_histogram(v, by_contig=True)
 
 
+def _stored(v: DataFrame) -> FragmentStore:
+    """The fragments as a store that was written and opened again."""
+    path = scratch_path(v.sparkSession, "store")
+    write_store(v, path, {"contig_lengths": {f"chr{k}": 1_000_600 for k in range(1, 23)}})
+    return FragmentStore.open(v.sparkSession, path)
+
+
+def _number(v: DataFrame, n: int) -> DataFrame:
+    return v.sparkSession.createDataFrame([(n,)], "n long")
+
+
 @_query("SELECT count(*)::BIGINT AS n FROM v")
 def n_fragments(v):
-    return v.agg(F.count("*").alias("n"))
+    return _number(v, _stored(v).n_fragments)
+
+
+@_query("SELECT contig, start, length, stop, mapq1::DOUBLE AS mapq1, mapq2::DOUBLE AS mapq2, strand, ord FROM v")
+def store_round_trip(v):
+    return _stored(v).fragments.withColumns({c: F.col(c).cast("double") for c in ("mapq1", "mapq2")})
+
+
+@_query(f"SELECT contig, start, stop, mapq1::DOUBLE AS mapq1, mapq2::DOUBLE AS mapq2, strand FROM v WHERE {_IN}")
+def store_fetch(v):
+    return _stored(v).fetch_array(*REGION, return_mapqs=True, return_strand=True).withColumns({c: F.col(c).cast("double") for c in ("mapq1", "mapq2")})
+
+
+@_query(f"SELECT count(*)::BIGINT AS n FROM v WHERE {_IN} AND length <= 300")
+def store_fetch_counts(v):
+    return _number(v, _stored(v).fetch_counts(*REGION, max_frag_len=300))
+
+
+@_query(f"SELECT count(*)::BIGINT AS n FROM v WHERE {_IN} AND {_MID}")
+def store_fetch_midpoints(v):
+    return _number(v, _stored(v).fetch_counts(*REGION, filter_to_midpoint_frags=True))
+
+
+@_query("SELECT contig, start, stop, coalesce(mapq1, -1)::INT AS mapq1, coalesce(mapq2, -1)::INT AS mapq2, coalesce(strand, 'N') AS strand FROM v WHERE " + _IN)
+def store_array_view(v):
+    store = _stored(v)
+    return store.array_view(store.fetch_array(*REGION, return_mapqs=True, return_strand=True))
+
+
+@_query("SELECT i::INT AS length, coalesce(n, 0)::BIGINT AS n FROM range(65536) t(i) LEFT JOIN (SELECT length, count(*) AS n FROM v GROUP BY length) ON length = i")
+def store_length_counts(v):
+    return _stored(v).fragment_length_counts()
+
+
+@_query("SELECT * FROM (SELECT ord, contig, start FROM v) WHERE (contig = 'chr1' AND start < 500000) OR (contig = 'chr2' AND start < 250001) OR contig = 'chr3'")
+def within_contig_lengths(v):
+    return within_contigs(v, {"chr1": 500_000, "chr2": 250_001, "chr3": 1_000_000}).select("ord", "contig", "start")
+
+
+@_query("SELECT ord, contig FROM v WHERE contig IN ('chr4', 'chr11')")
+def contig_allow_list(v):
+    return of_contigs(v, ["chr4", "chr11"]).select("ord", "contig")
+
+
+@_query("SELECT ord, (stop - start)::INT AS length, contig || ':' || start || '-' || stop || ' ' || coalesce(strand, '') AS shown FROM v")
+def fragment_length_and_text(v):
+    length = (F.col("stop") - F.col("start")).alias("length")
+    return v.select("ord", length, F.concat(G.unparse(F.col("contig")), F.lit(":"), G.unparse(F.col("start")), F.lit("-"), G.unparse(F.col("stop")), F.lit(" "), G.unparse(G.checked_strand(F.col("strand")))).alias("shown"))
+
+
+@_query("SELECT ord, (mapq1 IS NOT DISTINCT FROM mapq2) AND (strand IS NOT DISTINCT FROM CASE WHEN ord % 3 = 0 THEN strand END) AS same FROM v")
+def fragment_equality(v):
+    a, b = F.struct(F.col("mapq1").alias("q"), "strand").alias("a"), F.struct(F.col("mapq2").alias("q"), F.when(F.col("ord") % 3 == 0, F.col("strand")).alias("strand")).alias("b")
+    return v.select("ord", a, b).select("ord", G.equal_fragments("a", "b", ["q", "strand"]).alias("same"))
 
 
 @_query("SELECT ord FROM v WHERE flag & 1796 = 0 AND flag & 2048 = 0 AND flag & 8 = 0 AND tlen BETWEEN 1 AND 65535", ALIGNMENTS)
@@ -219,6 +286,36 @@ def pe_fragments(v):
     return paired_fragments(v, min_mapq=10, mapq_255_to_null=True, methyl=True).select("contig", "start", "stop", F.col("mapq1").cast("double"), F.col("mapq2").cast("double"), F.col("fragment_end_clipped").alias("clipped"), "num_cpgs")
 
 
+@_query(
+    """SELECT rname AS contig, pos AS start, ref_end AS stop, (ref_end - pos)::INT AS length, nullif(mapq, 255)::DOUBLE AS mapq1, CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END AS strand
+    FROM v WHERE flag & 1796 = 0 AND flag & 2048 = 0 AND mapq >= 10 AND ref_end - pos <= 1000""",
+    ALIGNMENTS,
+)
+def se_fragments(v):
+    return single_fragments(v, min_mapq=10, mapq_255_to_null=True, max_length=1_000).select("contig", "start", "stop", "length", F.col("mapq1").cast("double"), "strand")
+
+
+@_query(
+    """SELECT ord, name, value FROM (SELECT ord, unnest(['unconverted_cytosines', 'converted_cytosines', 'unconverted_cpgs', 'converted_cpgs']) AS name,
+    unnest([regexp_extract(ym, 'unconverted_cytosines:([0-9]+)', 1)::INT, regexp_extract(ym, ';converted_cytosines:([0-9]+)', 1)::INT, regexp_extract(ym, 'unconverted_cpgs:([0-9]+)', 1)::INT, regexp_extract(ym, ';converted_cpgs:([0-9]+)', 1)::INT]) AS value FROM v)""",
+    ALIGNMENTS,
+)
+def methyl_items(v):
+    return v.withColumn("y", A.methyl(F.col("ym"), F.col("qname"))).select("ord", F.inline(G.methyl_items(F.col("y"))))
+
+
+_SAM = f"""
+SELECT ord, qname || {{tab}} || flag || {{tab}} || rname || {{tab}} || (pos + 1) || {{tab}} || mapq || {{tab}} || cigar || {{tab}} || '=' || {{tab}} || '1' || {{tab}} || tlen || {{tab}} || '*' || {{tab}} || '*'
+       || CASE WHEN mq IS NULL THEN '' ELSE {{tab}} || 'MQ:i:' || mq END || CASE WHEN mc IS NULL THEN '' ELSE {{tab}} || 'MC:Z:' || mc END || {{tab}} || 'YM:Z:' || ym AS value, qname, rname, flag, pos, ref_end, tlen, mapq, mq, cigar, mc, ym
+FROM ({ALIGNMENTS}) AS a
+"""
+
+
+@_query("SELECT ord, qname, rname, flag, pos, ref_end, tlen, mapq, mq::DOUBLE AS mq, cigar, mc, ym FROM v", _SAM)
+def sam_text_scan(v):
+    return parse_sam(v.select("value", "ord")).select("ord", "qname", "rname", "flag", "pos", "ref_end", "tlen", "mapq", F.col("mq").cast("double"), "cigar", "mc", "ym")
+
+
 _SEQ = f"SELECT doc_id, {_CLEAN} AS seq FROM documents"
 
 
@@ -247,6 +344,19 @@ def gc_quantize(v):
     return v.select("ord", I.gc_quantize(F.col("gc")).alias("code"))
 
 
+#: Python's rounding looks at the exact binary value: here as an integer number of 2^-62, which every share above 1/1024 is.
+_TWO62, _TWO61 = 1 << 62, 1 << 61
+
+
+@_query(
+    f"""SELECT ord, (CASE WHEN m % {_TWO62} = {_TWO61} THEN m // {_TWO62} + (m // {_TWO62}) % 2 ELSE (m + {_TWO61}) // {_TWO62} END)::DOUBLE / 100000 AS gc
+    FROM (SELECT ord, (gc * {_TWO62}.0::DOUBLE)::HUGEINT * 100000 AS m FROM v)""",
+    _SHARE,
+)
+def gc_rounded(v):
+    return v.select("ord", I.gc_rounded(I.checked_gc(F.col("gc"))).alias("gc"))
+
+
 @_query("SELECT ord, (code / 254.0::DOUBLE)::FLOAT::DOUBLE AS gc FROM v", "SELECT l_orderkey * 8 + l_linenumber AS ord, CASE WHEN l_partkey % 255 = 254 THEN NULL ELSE l_partkey % 255 END AS code FROM lineitem")
 def gc_dequantize(v):
     return v.select("ord", I.gc_dequantize(F.col("code")).cast("double").alias("gc"))
@@ -254,12 +364,14 @@ def gc_dequantize(v):
 
 @_query(
     """SELECT item_id, (i - 1)::INT AS place, (CASE b WHEN 'A' THEN 1 WHEN 'M' THEN 0.5 WHEN 'R' THEN 0.5 WHEN 'W' THEN 0.5 WHEN 'N' THEN 0.25 WHEN 'X' THEN 0.25 ELSE 0 END)::DOUBLE AS a,
+    (CASE b WHEN 'C' THEN 1 WHEN 'M' THEN 0.5 WHEN 'Y' THEN 0.5 WHEN 'S' THEN 0.5 WHEN 'N' THEN 0.25 WHEN 'X' THEN 0.25 ELSE 0 END)::DOUBLE AS c,
+    (CASE b WHEN 'G' THEN 1 WHEN 'K' THEN 0.5 WHEN 'R' THEN 0.5 WHEN 'S' THEN 0.5 WHEN 'N' THEN 0.25 WHEN 'X' THEN 0.25 ELSE 0 END)::DOUBLE AS g,
     (CASE b WHEN 'T' THEN 1 WHEN 'K' THEN 0.5 WHEN 'Y' THEN 0.5 WHEN 'W' THEN 0.5 WHEN 'N' THEN 0.25 WHEN 'X' THEN 0.25 ELSE 0 END)::DOUBLE AS t
     FROM (SELECT item_id, i, seq[i] AS b FROM (SELECT item_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM v))""",
     "SELECT item_id, regexp_replace(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGTNKMRYSWX]', '.'{g}) AS seq FROM benchmark", "benchmark",
 )
 def one_hot(v):
-    return v.select("item_id", F.posexplode(S.one_hot(F.col("seq"))).alias("place", "w")).select("item_id", "place", F.col("w")[0].cast("double").alias("a"), F.col("w")[3].cast("double").alias("t"))
+    return v.select("item_id", F.posexplode(S.one_hot(F.col("seq"))).alias("place", "w")).select("item_id", "place", *[F.col("w")[k].cast("double").alias(n) for k, n in enumerate("acgt")])
 
 
 @_query("SELECT doc_id, translate(reverse(seq), 'ACGT', 'TGCA') AS seq FROM v", _SEQ, "documents")
@@ -280,25 +392,30 @@ def tsv_parse_and_reject(v):
     return parse_intervals(v, 6).groupBy("contig", "skipped").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bases"), F.count(F.when(ok, F.col("cell_barcode"))).alias("barcodes"), F.count(F.when(ok, F.col("strand"))).alias("strands"))
 
 
+@_query(
+    """, p AS (SELECT string_split(value, chr(9)) AS c FROM v WHERE value NOT LIKE '#%'),
+    q AS (SELECT c[1] AS contig, len(c) AS n, try_cast(c[2] AS INT) AS a, try_cast(c[3] AS INT) AS z FROM p)
+    SELECT contig, count(*)::BIGINT AS n, sum(CASE WHEN coalesce(n <> 6 OR a IS NULL OR z IS NULL OR a < 0 OR z <= a, true) THEN 1 ELSE 0 END)::BIGINT AS bad FROM q GROUP BY contig""",
+    LINES,
+)
+def skip_ratio(v):
+    return skip_counts(marked_intervals(v, 6))
+
+
 @_query("SELECT ord, CASE contig WHEN 'chr1' THEN '1' WHEN 'chr2' THEN '2' ELSE contig END AS contig FROM v")
 def contig_rename(v):
-    from tidelane.sources.text import rename_contigs
-
     return rename_contigs(v, {"chr1": "1", "chr2": "2"}).select("ord", "contig")
 
 
 @_query("SELECT contig, (start // 100000)::INT AS chunk, count(*)::BIGINT AS n, min(start) AS first, max(start) AS last FROM v GROUP BY contig, chunk")
 def chunk_assignment(v):
-    return v.groupBy("contig", F.expr("cast(start div 100000 as int)").alias("chunk")).agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last"))
+    return by_chunk(_stored(v).fragments, 100_000).groupBy("contig", "chunk").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last"))
 
 
 @_query("SELECT contig, row_number() OVER (PARTITION BY contig, start // 50000 ORDER BY start, ord)::INT AS place, start // 50000 AS chunk, start, stop FROM v")
 def chunk_invariance(v):
-    """The order inside chunks, from range partitions that know nothing of chunks."""
-    from pyspark.sql import Window
-
-    ordered = v.repartitionByRange(13, "contig", "start").sortWithinPartitions("contig", "start", "ord").withColumn("chunk", F.expr("cast(start div 50000 as int)"))
-    return ordered.select("contig", F.row_number().over(Window.partitionBy("contig", "chunk").orderBy("start", "ord")).alias("place"), "chunk", "start", "stop")
+    """The order inside chunks, of a store whose range partitions know nothing of chunks."""
+    return by_chunk(_stored(v).fragments, 50_000).select("contig", F.row_number().over(Window.partitionBy("contig", "chunk").orderBy("start", "ord")).alias("place"), "chunk", "start", "stop")
 
 
 @_query("SELECT ord, start + (stop - start) // 2 AS middle FROM v")
@@ -311,4 +428,9 @@ def interval_intersect_with_null(v):
     return v.where(I.intersect_with_null(F.col("mapq1"), F.col("mapq2"), F.lit(10), F.lit(40))).select("ord")
 
 
-QUERIES["random_seqs"] = lambda spark, d: S.random_sequences(spark, 100, 40, seed=5)
+@_query("SELECT count(*)::BIGINT AS n, 40 AS shortest, 40 AS longest, 0::BIGINT AS odd, 4 AS letters FROM (SELECT DISTINCT doc_id FROM v)", "SELECT doc_id FROM documents", "documents")
+def random_seqs(v):
+    """A random sequence for each id: their number, lengths and letters are certain."""
+    made = S.random_sequences(v.sparkSession, v.distinct().count(), 40, seed=5)
+    seq = F.col("sequence")
+    return made.agg(F.count("*").alias("n"), F.min(F.length(seq)).alias("shortest"), F.max(F.length(seq)).alias("longest"), F.coalesce(F.sum(F.length(F.translate(seq, "ACGT", ""))), F.lit(0)).alias("odd"), F.size(F.array_distinct(F.flatten(F.collect_set(F.split(seq, ""))))).alias("letters"))

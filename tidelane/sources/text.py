@@ -15,11 +15,11 @@ def is_fragment_file(path: str) -> bool:
     return path.endswith((".tsv.gz", ".bed.gz"))
 
 
-def parse_intervals(lines: DataFrame, width: int, max_length: int = MAX_LENGTH) -> DataFrame:
-    """(contig, start, stop, length, cell_barcode, strand, skipped, ord) of the lines (value, ord) of a file of ``width`` columns.
+def marked_intervals(lines: DataFrame, width: int, max_length: int = MAX_LENGTH) -> DataFrame:
+    """(contig, start, stop, length, cell_barcode, strand, skipped, too_long, ord) of the lines (value, ord) of a file of ``width`` columns.
 
     ``skipped`` marks rows of another width or under three columns, with coordinates that are no integers, negative or
-    empty. Too long ones are dropped without being marked. Comments are no rows.
+    empty. Comments are no rows.
     """
     rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select("ord", F.split("value", "\t").alias("p"))
     part = lambda k: F.try_element_at("p", F.lit(k + 1))
@@ -27,8 +27,19 @@ def parse_intervals(lines: DataFrame, width: int, max_length: int = MAX_LENGTH)
     cut = rows.select("ord", F.size("p").alias("n"), part(0).alias("contig"), number(part(1)).alias("start"), number(part(2)).alias("stop"), F.nullif(part(3), F.lit("")).alias("cell_barcode"), F.when(part(5).isin("+", "-"), part(5)).alias("strand"))
     bad = (F.col("n") < 3) | (F.col("n") != width) | F.col("start").isNull() | F.col("stop").isNull() | (F.col("start") < 0) | (F.col("stop") <= F.col("start"))
     marked = cut.withColumn("skipped", F.coalesce(bad, F.lit(True))).withColumn("length", F.col("stop") - F.col("start"))
-    fits: Column = F.col("skipped") | (F.col("length") <= max_length)
-    return marked.where(fits).select("contig", *[F.when(~F.col("skipped"), F.col(c)).cast("int").alias(c) for c in ("start", "stop", "length")], "cell_barcode", "strand", "skipped", "ord")
+    too_long: Column = ~F.col("skipped") & (F.col("length") > max_length)
+    fits = ~F.col("skipped") & ~F.col("too_long")
+    return marked.withColumn("too_long", too_long).select("contig", *[F.when(fits, F.col(c)).cast("int").alias(c) for c in ("start", "stop", "length")], "cell_barcode", "strand", "skipped", "too_long", "ord")
+
+
+def parse_intervals(lines: DataFrame, width: int, max_length: int = MAX_LENGTH) -> DataFrame:
+    """The marked intervals without those that are too long, which are dropped without counting as malformed."""
+    return marked_intervals(lines, width, max_length).where(~F.col("too_long")).drop("too_long")
+
+
+def skip_counts(marked: DataFrame) -> DataFrame:
+    """(contig, n, bad): all rows of a contig, too long ones as well, and the malformed ones among them."""
+    return marked.groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.col("skipped").cast("int")).alias("bad"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -47,11 +58,11 @@ def file_width(lines: DataFrame) -> int:
 def read_intervals(spark: SparkSession, path: str, max_length: int = MAX_LENGTH) -> DataFrame:
     """The intervals of a file. More than half of a contig's rows malformed is an error."""
     lines = read_lines(spark, path)
-    parsed = parse_intervals(lines, file_width(lines), max_length)
-    worst = parsed.groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.col("skipped").cast("int")).alias("bad")).where(F.col("bad") > MOST_SKIPPED * F.col("n")).first()
+    marked = marked_intervals(lines, file_width(lines), max_length)
+    worst = skip_counts(marked).where(F.col("bad") > MOST_SKIPPED * F.col("n")).first()
     if worst is not None:
         raise ValueError(f"{worst['bad']} of {worst['n']} rows of contig {worst['contig']} in {path} are malformed")
-    return parsed.where(~F.col("skipped")).drop("skipped")
+    return marked.where(~F.col("skipped") & ~F.col("too_long")).drop("skipped", "too_long")
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:
@@ -59,7 +70,7 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     record = ~F.col("value").startswith("@") & (F.col("value") != "")
     # Null on header lines, as the optimizer may evaluate later filters before the one on the line's kind.
     rows = lines.where(record).select("ord", F.when(record, F.split("value", "\t")).alias("p"))
-    tag = lambda name: F.nullif(F.regexp_extract(F.array_join(F.slice("p", 12, 10_000), "\t"), rf"(?:^|\t){name}:[A-Za-z]:([^\t]*)", 1), F.lit(""))
+    tag = lambda name: F.nullif(F.regexp_extract(F.array_join(F.slice("p", 12, F.size("p")), "\t"), rf"(?:^|\t){name}:[A-Za-z]:([^\t]*)", 1), F.lit(""))
     cut = rows.select("ord", *[F.get("p", F.lit(k)).alias(n) for k, n in ((0, "qname"), (2, "rname"), (5, "cigar"))], *[F.get("p", F.lit(k)).cast("int").alias(n) for k, n in ((1, "flag"), (4, "mapq"), (8, "tlen"))], (F.get("p", F.lit(3)).cast("int") - 1).alias("pos"), tag("MQ").cast("int").alias("mq"), tag("MC").alias("mc"), tag("CB").alias("cb"), tag("YM").alias("ym"))
     return cut.withColumn("ref_end", (F.col("pos") + reference_span(F.col("cigar"))).cast("int"))
 
