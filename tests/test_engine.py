@@ -1,7 +1,9 @@
 """Functions, sources, build and store on small inputs."""
 
 import gzip
+import pickle
 import struct
+import zlib
 
 import pytest
 from pyspark.errors import PySparkException
@@ -11,10 +13,12 @@ from tidelane import cli
 from tidelane.functions import alignments as A
 from tidelane.functions import intervals as I
 from tidelane.functions import sequences as S
+from tidelane.functions.fragment import Fragment, checked_strand, unparse
+from tidelane.operators import overlap
 from tidelane.operators.gc import reference_blocks, with_gc
 from tidelane.operators.overlap import overlap_join
 from tidelane.plans.build import build_store
-from tidelane.sources import text
+from tidelane.sources import binary, text
 
 
 def one(spark, column, **values):
@@ -42,6 +46,113 @@ def bam(path, contigs, rows):
     return str(path)
 
 
+def block_gzip_bam(path, contigs, rows, block=400):
+    """The same records in small blocks, with an index of one chunk a contig and windows of 2^14 bases."""
+    plain = gzip.decompress(open(bam(path, contigs, rows), "rb").read())
+    places, out = [], b""
+    for at in [*range(0, len(plain), block), len(plain)]:
+        data = plain[at : at + block]
+        squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = squeeze.compress(data) + squeeze.flush()
+        places.append(len(out))
+        out += b"\x1f\x8b\x08\x04" + b"\0" * 5 + b"\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+    path.write_bytes(out)
+    head = 12 + sum(8 + len(n) + 1 for n, _ in contigs)
+    at, starts = head, []
+    while at < len(plain):
+        starts.append(places[at // block] << 16 | at % block)
+        at += 4 + struct.unpack_from("<i", plain, at)[0]
+    index = b"BAI\x01" + struct.pack("<i", len(contigs))
+    for number in range(len(contigs)):
+        own = [(row[3], start) for row, start in zip(rows, starts, strict=True) if row[2] == number]
+        windows = [0] * ((max(p for p, _ in own) >> 14) + 1) if own else []
+        for position, start in reversed(own):
+            windows[position >> 14] = start
+        index += struct.pack("<i", bool(own)) + (struct.pack("<IiQQ", 4_681, 1, own[0][1], 0) if own else b"") + struct.pack(f"<i{len(windows)}Q", len(windows), *windows)
+    path.with_suffix(".bam.bai").write_bytes(index)
+    return str(path)
+
+
+def test_indexed_bam_is_read_by_several_tasks(spark, tmp_path):
+    binary.register(spark)
+    contigs = [("a", 2_000_000), ("none", 10), ("b", 900_000)]
+    rows = [(f"r{k}", 0, 0, 400 * k, 60, [(30, "M")], 0, b"") for k in range(4_000)] + [(f"s{k}", 16, 2, 700 * k, 9, [(30, "M")], 0, b"") for k in range(1_000)] + [("u", 4, -1, -1, 0, [], 0, b"")]
+    whole = spark.read.format("bam").load(bam(tmp_path / "w.bam", contigs, rows))
+    path = block_gzip_bam(tmp_path / "x.bam", contigs, rows)
+    parts = spark.read.format("bam").option("splitBytes", 4_000).load(path)
+    assert parts.rdd.getNumPartitions() > 5 and whole.rdd.getNumPartitions() == 1
+    found, want = (df.orderBy("ord").drop("ord").collect() for df in (parts, whole))
+    assert found == want and len(want) == 5_001
+    for at, start, stop in (("a", 800_010, 801_000), ("b", 0, 1), ("b", 699_000, 900_000), ("none", 0, 10)):
+        got = [r["qname"] for r in spark.read.format("bam").options(contig=at, start=start, stop=stop).load(path).orderBy("ord").collect()]
+        assert got == [r["qname"] for r in want if r["rname"] == at and r["pos"] < stop and r["ref_end"] > start]
+        assert sorted(got) == sorted(r["qname"] for r in spark.read.format("bam").options(contig=at, start=start, stop=stop).load(str(tmp_path / "w.bam")).collect())
+    store = build_store(spark, path, str(tmp_path / "s"), single_end=True)
+    assert store.n_fragments == 5_000 and [r["start"] for r in store.fetch("b", 0, 1_500)] == [0, 700, 1_400]
+
+
+def test_fragment_values(spark, tmp_path):
+    a = Fragment("chr1", 10, 21, mapq1=5, strand=b"-")
+    assert a.strand == "-" and (a.length, a.tlen, a.midpoint, a.mapq12_min) == (11, 11, 15, 5)
+    assert repr(a) == "Fragment(chrom='chr1',start=10,stop=21,mapq1=5,strand='-')"
+    assert a == a.replace() and a != a.replace(gc=0.5) and a.replace(stop=30).length == 20 and a.stop == 21
+    assert Fragment.field_names()[:3] == ["chrom", "start", "stop"] and len(Fragment.field_types()) == 10
+    assert not a.mapq_gte(6) and Fragment("c", 0, 1).mapq_gte(90)
+    for bad in ({"strand": "*"}, {"start": 1.5}):
+        with pytest.raises(AssertionError):
+            a.replace(**bad)
+    store = build_store(spark, sam(tmp_path / "x.sam", pair("r1", 1_001, 116)), str(tmp_path / "s"))
+    got = Fragment.from_row(next(store.fetch()))
+    assert (got.chrom, got.start, got.stop, got.strand, got.fragment_end_clipped) == ("chr6", 1_000, 1_116, "+", False)
+    with pytest.raises(PySparkException):
+        one(spark, checked_strand(F.lit("x")))
+    assert one(spark, unparse(F.lit(None).cast("int"))) == "" and one(spark, checked_strand(F.lit("+"))) == "+"
+
+
+def test_provenance_and_pickling(spark, tmp_path):
+    source = sam(tmp_path / "x.sam", pair("r1", 1_001, 116))
+    argv = [source, str(tmp_path / "s"), "--contigs", "chr6"]
+    store = build_store(spark, source, str(tmp_path / "s"), contigs=["chr6"], build_argv=argv)
+    assert store.build_argv == argv and store.build_version and store.source_format == "BAM" and store.index_block_size == 5_000
+    again = pickle.loads(pickle.dumps(store))
+    assert again.build_argv == argv and again.fetch_counts("chr6") == 1 and [r["start"] for r in again.fetch()] == [1_000]
+    assert build_store(spark, source, str(tmp_path / "t")).build_argv is None
+    with pytest.raises(KeyError):
+        build_store(spark, source, str(tmp_path / "u"), contigs=["chr7"])
+
+
+def test_too_long_rows_count_in_the_skip_ratio(spark, tmp_path):
+    path = tmp_path / "x.tsv"
+    path.write_text("q\t1\t9\n" + "q\tx\t9\n" * 4 + "q\t1\t99999999\n" * 5)
+    assert [r["start"] for r in text.read_intervals(spark, str(path)).collect()] == [1]
+    path.write_text("q\t1\t9\n" + "q\tx\t9\n" * 4 + "q\t1\t99999999\n" * 2)
+    with pytest.raises(ValueError, match="4 of 7"):
+        text.read_intervals(spark, str(path))
+
+
+def test_gc_outside_its_range_is_an_error(spark):
+    assert one(spark, I.checked_gc(F.lit(1.0))) == 1.0 and one(spark, I.checked_gc(F.lit(None).cast("double"))) is None
+    with pytest.raises(PySparkException):
+        one(spark, I.checked_gc(F.lit(1.01)))
+
+
+def test_deep_bins_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BIN_ROWS", 50)
+    f = [("a", 100 + k % 7, 200 + k % 11, 100, k) for k in range(400)] + [("a", 9_000, 9_100, 100, 900)]
+    frags = spark.createDataFrame(f, "contig string, start int, stop int, length int, ord int")
+    regions = spark.createDataFrame([(1, "a", 0, 150), (2, "a", 0, 10_000), (3, "b", 0, 10)], "region_id int, contig string, region_start int, region_stop int")
+    got = {r["region_id"]: r["n"] for r in overlap_join(frags, regions, max_broadcast=0).groupBy("region_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {1: 400, 2: 401}
+
+
+def test_command_line_refuses_an_existing_output_before_reading(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    assert cli.main([str(tmp_path / "missing.sam"), str(tmp_path / "out")]) == 1
+    assert cli.parse(["a.sam", "o", "-q"]).level > cli.parse(["a.sam", "o", "-v"]).level
+    with pytest.raises(SystemExit):
+        cli.parse(["a.sam", "o", "-q", "--debug"])
+
+
 def test_scalars(spark):
     ints = lambda a, b: (F.lit(a).cast("int"), F.lit(b).cast("int"))
     assert [one(spark, I.mapq_min(*ints(*x))) for x in ((30, 20), (30, None), (None, 20), (None, None))] == [20, 30, 20, None]
