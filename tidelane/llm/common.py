@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +53,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
+    if _scopes:
+        _scopes[-1].append(table)
     return table
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Tables stored inside are released at the end, but for those that the block puts into the list it is given."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        paths = {table._stored_at for table in kept}
+        release(*[table for table in _scopes.pop() if table._stored_at not in paths])
+
+
 def release(*tables: DataFrame) -> None:
     """Remove the files of tables from ``stored`` that nothing will read any more; the tables can't be used after."""
     for table in tables:
@@ -86,6 +105,11 @@ def lower_setting(spark: SparkSession, key: str, most: int) -> None:
         spark.conf.set(key, str(most))
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The columns under names that need no quotes, as Python functions over whole rows ask for."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import stored
+from tidelane.llm.common import release, stored
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         large = stored(large.where("a <> b").distinct(), name)
         below = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(below, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(below.select("a", F.col("m").alias("b")))
-        now = stored(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        last, now = now, stored(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        release(last, large)
         before, state = state, _state(now)
         if before == state:
             break
