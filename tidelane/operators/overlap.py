@@ -9,8 +9,8 @@ from tidelane.functions.intervals import MAX_LENGTH
 
 #: Width of the bins that a batch of regions is joined by.
 BIN = 5_000
-#: Regions that are broadcast; more are joined by bins in a shuffle.
-MAX_BROADCAST_REGIONS = 10_000
+#: Bins of all regions that are broadcast (about 100 bytes each); more are joined in a shuffle.
+MAX_BROADCAST_BINS = 400_000
 #: Fragments of a bin per salt, where the join is a shuffle: bins of deep coverage are split.
 BIN_ROWS = 50_000
 
@@ -41,11 +41,11 @@ def length_histogram(fragments: DataFrame, by_contig: bool = False, longest: int
     return lengths.join(counts, "length", "left").select("length", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def overlap_join(fragments: DataFrame, regions: DataFrame, max_length: int = MAX_LENGTH, midpoint: bool = False, max_broadcast: int = MAX_BROADCAST_REGIONS) -> DataFrame:
+def overlap_join(fragments: DataFrame, regions: DataFrame, max_length: int = MAX_LENGTH, midpoint: bool = False, max_broadcast: int = MAX_BROADCAST_BINS) -> DataFrame:
     """Every (region, fragment) pair that a single-region query would give; regions: (region_id, contig, region_start, region_stop).
 
     Both sides are cut into bins; a pair counts in the later of its two first bins only. Regions are few against
-    fragments: up to ``max_broadcast`` of them are broadcast, so that fragments aren't shuffled. Beyond, bins with more
+    fragments: up to ``max_broadcast`` bins of them are broadcast, so that fragments aren't shuffled. Beyond, bins with more
     than BIN_ROWS fragments are salted: their fragments are dealt out by a hash, their regions repeated.
     """
     first = lambda c: F.floor(F.greatest(F.col(c), F.lit(0)) / BIN)
@@ -56,7 +56,7 @@ def overlap_join(fragments: DataFrame, regions: DataFrame, max_length: int = MAX
     if midpoint:
         middle = F.col("start") - F.col("region_start") + F.floor(F.col("length") / 2)
         fits = fits & (middle >= 0) & (middle < F.col("region_stop") - F.col("region_start"))
-    few = regions.limit(max_broadcast + 1).count() <= max_broadcast
+    few = (regions.agg(F.sum(last("region_stop", "region_start") - first("region_start") + 1)).first()[0] or 0) <= max_broadcast
     helpers = ("f_first", "f_bin", "r_first", "r_bin", "r_contig")
     if few:
         return f.join(F.broadcast(r), fits).drop(*helpers)
