@@ -17,6 +17,7 @@ from tidelane.functions.fragment import Fragment, checked_strand, unparse
 from tidelane.operators import overlap
 from tidelane.operators.gc import reference_blocks, with_gc
 from tidelane.operators.overlap import overlap_join
+from tidelane.operators.store import FragmentStore
 from tidelane.plans.build import build_store
 from tidelane.sources import binary, text
 
@@ -153,6 +154,16 @@ def test_command_line_refuses_an_existing_output_before_reading(spark, tmp_path)
         cli.parse(["a.sam", "o", "-q", "--debug"])
 
 
+def test_command_line_builds_a_store(spark, tmp_path):
+    source = sam(tmp_path / "x.sam", pair("r1", 1_001, 116) + pair("r2", 5_001, 90, mapq=3))
+    (tmp_path / "names").write_text("# in, out\nchr6\t6\n")
+    out = str(tmp_path / "s")
+    assert cli.main([source, out, "--min-mapq", "10", "--contig-name-map", str(tmp_path / "names"), "--log-filename", str(tmp_path / "log"), "--debug"]) == 0
+    store = FragmentStore.open(spark, out)
+    assert store.n_fragments == 1 and list(store.contig_lengths) == ["6"] and store.build_argv[0] == source
+    assert cli.main([source, out]) == 1 and cli.main([source, str(tmp_path / "t"), "--contigs", "nope"]) == 1
+
+
 def test_scalars(spark):
     ints = lambda a, b: (F.lit(a).cast("int"), F.lit(b).cast("int"))
     assert [one(spark, I.mapq_min(*ints(*x))) for x in ((30, 20), (30, None), (None, 20), (None, None))] == [20, 30, 20, None]

@@ -68,8 +68,10 @@ def main(argv: list[str] | None = None) -> int:
         logging.getLogger().addHandler(handler)
     names = None
     if a.contig_name_map:
-        with open(a.contig_name_map) as f:
-            names = read_contig_map(list(f))
+        from tidelane.sources.binary import open_file
+
+        with open_file(a.contig_name_map) as f:  # a local file, or any by URI
+            names = read_contig_map(f.read().decode().splitlines())
     from pyspark.errors import AnalysisException
     from pyspark.sql import SparkSession
 
