@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import stored
+from tidelane.llm.common import stored, temporary
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -152,10 +152,12 @@ def _within(limit: tuple | None, value: Column, epoch: Column) -> Column:
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES, seed: str = SEED, keep: list[str | Column] | None = None) -> tuple[DataFrame, tuple | None]:
     """The queue, a row for equal documents without their text, and the last copy taken."""
     counted = sizes(docs, keep)
-    sized = stored(counted.groupBy(*counted.columns).agg(F.count("*").alias("k")), "mix-sizes")
-    plan = stored(targets(sized, weights, share, passes), "mix-targets")
-    queue = stored(queued(sized, plan, seed), "mix-queue")
-    total = plan.agg(F.sum("source_size")).first()[0] or 0
+    with temporary() as kept:
+        sized = stored(counted.groupBy(*counted.columns).agg(F.count("*").alias("k")), "mix-sizes")
+        plan = stored(targets(sized, weights, share, passes), "mix-targets")
+        queue = stored(queued(sized, plan, seed), "mix-queue")
+        kept.append(queue)
+        total = plan.agg(F.sum("source_size")).first()[0] or 0
     return queue, cut(queue, total * share, passes)
 
 
