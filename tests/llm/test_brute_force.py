@@ -459,3 +459,16 @@ def test_unlinked_documents_of_stock_sentences_make_no_pairs(spark, monkeypatch)
         docs = spark.createDataFrame([(k, " ".join(stock[j] for j in rng.choice(40, 10, replace=False))) for k in range(n)], "doc_id long, text string")
         assert op10_ngram_join.join_documents(docs).where("component_id <> doc_id").isEmpty()
         assert max(seen[-2:]) <= 4 * n  # the first comparisons, and then the pairs that tiles leave open
+
+
+def test_very_long_texts_and_ties(spark):
+    long = "word " * 500_000
+    docs = odd_docs(spark, [(1, long, "bb", "s"), (2, long, "aa", "s"), (3, "word", None, "s"), (None, long, None, None), (5, None, None, None)])
+    queue, limit = op6_mixing.plan_mix(docs)
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in op6_mixing.taken(queue, limit).collect()) == [(0, 500_000), (1, 500_000), (2, 500_000), (3, 1), (5, 0)]
+    model = op5_toxicity.Model({"word": 3.0}, None, None, 0.25)
+    assert {r["score"] for r in op5_toxicity.score(docs, model).collect()} == {0.25}
+    assert op5_toxicity.Features({"word": 3.0}).of(long)[1] == pytest.approx(math.log1p(500_000))
+    same = op7_language_id._unit(op7_language_id.Profiles().bundles([long]))[0]
+    said = op7_language_id.identify(docs, {"bb": same, "aa": same}).collect()
+    assert [r["lang_pred"] for r in sorted(said, key=lambda r: r["doc_id"] or 0)] == ["aa"] * 4 + ["und"]  # equal cosines: the smaller name
