@@ -7,14 +7,15 @@ rows use far more often in toxic texts; boosting is Newton boosting over histogr
 pool-adjacent-violators blocks by lines, so that scores keep their order.
 
 Learning uses rows outside the held-out fold only, split by the same remainder: 0 and 3 for the lexicon, 1 and 3
-for the trees, 0 for the calibration. It reads at most about MAX_TRAINING labelled rows, chosen by a hash of the id.
+for the trees, 0 for the calibration. It reads at most about MAX_TRAINING labelled ids, chosen by a hash, and of each id one text (the smallest, where rows with one id differ).
 Lexicon counts are added up in the tasks; only numbers (one row of features per sampled row, at most MAX_LEXICON
 words) reach the driver. Scoring reads each whole text once and has no shuffle.
 
 Defined cases: null and empty texts have features of 0 and get the score that those have; without labels, or with
 labels of one kind, every score is the share of toxic labels (0 without any); null labels and null ids are not
 learned from; several labels of a document: it is toxic if one says so; repeated rows are each scored; empty tables
-give no rows; only doc_id and text are read for a score.
+give no rows; texts of any length are read whole, and words over LONG letters stand by a hash in the lexicon; a null id is marked as held out, as it belongs to no fold; only doc_id and text are read for a
+score; all other columns are kept, whatever their names, but one called score, in any case, gives way to the result in ``score``, and stays in ``civil``.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelane.llm.common import crc_mod4, held_out, small_batches, stored
+from tidelane.llm.common import crc_mod4, held_out, plain_names, release, small_batches, stored
 
 #: Labelled rows that are learned from, about.
 MAX_TRAINING = 24_000
@@ -51,9 +54,14 @@ _STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 _UPPER, _LOWER, _DIGIT, _PUNCT = (np.array([chr(b) in kind for b in range(256)]) for kind in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
 
+def term(word: str) -> str:
+    """The word as a lexicon holds it: a very long one by its beginning and a hash."""
+    return word if len(word) <= LONG else f"{word[:LONG]}#{xxhash.xxh3_128_hexdigest(word)}"
+
+
 def terms_of(text: str) -> set[str]:
     """Words of the text and their beginnings (marked by ``^``): what a lexicon may hold."""
-    words = {w for w in (x.strip(_EDGES) for x in set(text.lower().split())) if w and len(w) <= 40}
+    words = {term(w) for w in (x.strip(_EDGES) for x in set(text.lower().split())) if w}
     return words | {"^" + w[:k] for w in words for k in PREFIXES if len(w) > k}
 
 
@@ -76,7 +84,7 @@ class Features:
         if word[:3] not in self.heads:
             return 0.0
         get = self.lexicon.get
-        return max([get(word, 0.0), *(get("^" + word[:k], 0.0) for k in PREFIXES if len(word) > k)])
+        return max([get(term(word), 0.0), *(get("^" + word[:k], 0.0) for k in PREFIXES if len(word) > k)])
 
     def _look(self, token: str) -> tuple[float, bool, bool, bool, bool]:
         """A token's weight, and whether it is odd, disguised, an address, in capitals."""
@@ -243,8 +251,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
         return Model({}, None, None, float(bool(n) and bool(toxic)))
     if n > max_training:
         marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < round(1e6 * max_training / n))
-    # At most max_training marks about, of 12 bytes each, whatever the table's size. Their texts are written once and read three times.
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"), crc_mod4(F.col("doc_id")).alias("fold"))
+    # At most max_training marks about, of 12 bytes each, whatever the table's size, and one text for each. The texts are written once and read three times.
+    one = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = one.select("text", (F.col("toxic") > 0).alias("toxic"), crc_mod4(F.col("doc_id")).alias("fold"))
     rows = stored(rows, "toxicity-training")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +278,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
         for batch in batches:
             yield pa.record_batch([pa.array([features.of(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "fold"])
 
-    table = rows.select("text", "toxic", "fold").mapInArrow(measure, "x array<double>, toxic boolean, fold long").toPandas()
+    table = rows.select("text", "toxic", "fold").mapInArrow(measure, "x array<double>, toxic boolean, fold long").toPandas()  # a row of numbers for each labelled id
+    release(rows)
     if table.empty:
         return Model({}, None, None, toxic / n)
     x, y, fold = np.array(table["x"].tolist(), float), table["toxic"].to_numpy(float), table["fold"].to_numpy()
@@ -287,7 +297,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c != "score"]
+    columns = [c for c in docs.columns if c.lower() != "score"]
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,14 +306,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features.of(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(x), pa.float64())], names=[*columns, "score"])
 
-    kept = docs.select(*columns)
-    return kept.mapInArrow(run, kept.withColumn("score", F.lit(0.0)).schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns])
+    return plain_names(kept).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, their columns as they were."""
-    scored = score(docs.select(*[F.col(c).alias(f"c_{c}" if c != "text" else c) for c in docs.columns]), model).where(F.col("score") < threshold)
-    return scored.select(*[F.col(f"c_{c}" if c != "text" else c).alias(c) for c in docs.columns])
+    named = [c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)]  # no name can clash, or need quotes
+    scored = score(docs.toDF(*named), model).where(F.col("score") < threshold)
+    return scored.drop("score").toDF(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
