@@ -12,7 +12,9 @@ their letters when a worker's table is full, so memory is bounded for any script
 
 Defined cases: a null text, or one without a letter (digits, fractions and marks are none), is ``und`` with score 0; ties between languages go to the
 smaller name; a null language or a null id is never learned from; without any learned language everything is
-``und``; repeated rows are each scored; empty tables give no rows; only doc_id, text and lang are read.
+``und``; repeated rows are each scored; texts of any length are read whole; a null id is marked as held out, as it belongs to no fold; empty tables give no
+rows; only doc_id, text and lang are read. All columns are kept, whatever their names, but those called like a result, in any case, give way to it in ``identify``,
+and stay in ``speakable``.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelane.llm.common import held_out, small_batches, stored
+from tidelane.llm.common import held_out, plain_names, small_batches, stored
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -40,7 +43,7 @@ MAX_TABLE = 60_000
 #: Below this cosine a text resembles no learned language, whatever its training texts' scores.
 MIN_SCORE = 0.05
 #: Of the training texts' scores, the quantile of which FLOOR_SHARE is the least that a text of the language must reach.
-FLOOR_QUANTILE, FLOOR_SHARE = 0.01, 0.4
+FLOOR_QUANTILE, FLOOR_SHARE = 0.01, 0.14
 UNKNOWN = "und"
 
 
@@ -158,7 +161,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     small_batches(spark)
     names = sorted(prototypes)
     sent = spark.sparkContext.broadcast(np.stack([prototypes[k] for k in names]) if names else np.empty((0, dimensions), np.float32))
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +175,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
             score = np.where(some, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
 
-    schema = docs.select(*columns).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    return docs.select(*columns).mapInArrow(run, schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns])
+    return plain_names(kept).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], max_training: int = MAX_TRAINING) -> dict[str, float]:
@@ -186,9 +189,9 @@ def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], max_training: int
 def speakable(docs: DataFrame, prototypes: dict[str, np.ndarray], least: dict[str, float] | None = None) -> DataFrame:
     """The documents in a learned language; those without letters or, by ``least`` (else MIN_SCORE), like no language go."""
     floor = F.coalesce(F.create_map(*[F.lit(x) for pair in (least or {"": MIN_SCORE}).items() for x in pair])[F.col("lang_pred")], F.lit(MIN_SCORE))
-    named = {c: c if c == "text" else f"c_{c}" for c in docs.columns}  # columns named like a result keep what they hold
-    said = identify(docs.select(*[F.col(c).alias(n) for c, n in named.items()]), prototypes)
-    return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor)).select(*[F.col(n).alias(c) for c, n in named.items()])
+    named = [c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)]  # no name can clash, or need quotes
+    said = identify(docs.toDF(*named), prototypes)
+    return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor)).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
