@@ -52,7 +52,7 @@ PERCENT = 80
 FEWEST_COUNTERS, MOST_COUNTERS, SHINGLES_EACH = 20, 24, 64
 COUNTER_SLICES = 256
 #: Rows from which a tile counts as hot.
-HOT = 20_000
+HOT = 2_000
 #: Documents of a tile per salt.
 BLOCK = 512
 #: Signatures have about four bits a shingle, within these limits.
