@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import release, small_batches, stored
+from tidelane.llm.common import release, small_batches, stored, temporary
 
 K = 20
 #: Projected dimensions; even, so that the chi-square law has a closed form.
@@ -130,11 +130,12 @@ def indexed(rows: DataFrame, k: int) -> DataFrame:
 
 def best(ids: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best (largest score, then smallest id) per query number, each (query, id) once."""
-    order = np.lexsort((found, -scores, ids))
+    order = np.lexsort((-scores, found, ids))
     i, f = ids[order], found[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (i[1:] != i[:-1]) | (f[1:] != f[:-1])
     order = order[fresh]
+    order = order[np.lexsort((found[order], -scores[order], ids[order]))]
     i = ids[order]
     starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, int)
     place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
@@ -272,16 +273,15 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
     return parts.groupBy("q", "part").applyInArrow(run, "q long, part long, qid binary, vid binary, score binary")
 
 
-def neighbours(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest inner products for each row whose id is divisible by ``every``."""
+def _nearest(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, int] | None:
+    """The packed and merged results, written, and the power of two that vectors were scaled by; None without queries."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fine = usable(vectors)
     questions = stored(fine.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")), "near-questions")
     rows = stored(indexed(fine, k), "near-rows")
     n, dimensions, most = rows.agg(F.count("*"), F.max(F.size("x")), F.max(F.array_max(F.transform("x", F.abs)))).first()
     if not n or questions.isEmpty():
-        return empty
+        return None
     exponent = math.frexp(most)[1]
     scale = 0 if -400 < exponent < 400 else -exponent  # a power of two changes no digit
     grown = F.transform("x", lambda v: v * F.lit(math.ldexp(1.0, scale // 2)) * F.lit(math.ldexp(1.0, scale - scale // 2)))
@@ -333,9 +333,19 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         found = once.select("q", "part", "qid", "vid", "score").union(rest.select("q", "part", "qid", "vid", "score"))
         level = stored(_merged(found.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(spread))), k), "near-level")
         whole = stored(_merged(level.withColumn("part", F.lit(0).cast("long")), k), "near-whole")
-        release(data, asked, asked_packs, once, rest, level)
     finally:
         spark.conf.set(key, kept)
+    return whole, scale
+
+
+def neighbours(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest inner products for each row whose id is divisible by ``every``."""
+    with temporary() as kept:
+        found = _nearest(vectors, every, k)
+        if found is None:
+            return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        whole, scale = found
+        kept.append(whole)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
