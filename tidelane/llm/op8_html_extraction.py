@@ -7,7 +7,7 @@ that differs from page to page 1; a text on c of m pages measures 1 - log(c) / l
 content and the rest of its node's presentation are its measure; a node's measure is the mean over its words.
 
 Importance decides on every branch, in log-odds: a prior by the names of elements and classes (PRIOR), plus STEEP times
-the measure less a pivot, trusted fully from SURE pages on and not at all below FEW. A node's pivot is the host's own
+the measure less a pivot, the more the more pages have the node (not at all below FEW). A node's pivot is the host's own
 mean measure if its names say nothing, so that texts that rotate over some pages stand out from a host's unique ones; else, and for
 single texts, it is a half. The prior of a furniture region (what lies under one furniture element and under no further one) is
 that of unnamed nodes where the region, on FEW pages, has at least as many important words (measure times words, over
@@ -44,10 +44,10 @@ from tidelane.llm.common import release, small_batches, stored
 
 GAMMA = 0.9
 #: Log-odds by name: inside furniture, without a name that tells, inside an article or main element.
-PRIOR = {-1: -3.0, 0: 1.0, 1: 2.0}
+PRIOR = {-1: -4.0, 0: 1.0, 1: 2.3}
 STEEP = 5.0
-#: Pages with a node from which its measure is heard at all, and trusted fully.
-FEW, SURE = 4, 30
+#: Pages with a node from which its measure is heard at all, and those that give it a trust of 1; trust grows with their logarithm to the most.
+FEW, SURE, MOST_TRUST = 4, 30, 1.5
 MAX_MODEL = 200_000
 SALTS = 16
 
@@ -258,7 +258,7 @@ def importance(texts: DataFrame) -> DataFrame:
     nodes = texts.groupBy("host", "path").agg((weight / F.sum("mass")).alias("mean"))
     known = texts.join(nodes.hint("merge"), ["host", "path"]).join(main.hint("merge"), ["host", "region"], "left").join(rest.select("host", "level").hint("merge"), "host", "left")
     prior = F.when((F.col("kind") < 0) & F.col("main").isNull(), PRIOR[-1]).when(F.col("kind") > 0, PRIOR[1]).otherwise(PRIOR[0])
-    trust = STEEP * F.when(F.col("m") < FEW, 0.0).otherwise(F.least(F.lit(1.0), F.log("m") / F.log(F.lit(float(SURE)))))
+    trust = STEEP * F.when(F.col("m") < FEW, 0.0).otherwise(F.least(F.lit(MOST_TRUST), F.log("m") / F.log(F.lit(float(SURE)))))
     pivot = F.when(F.col("kind") == 0, F.greatest(F.lit(0.5), F.coalesce("level", F.lit(0.5)))).otherwise(0.5)
     return known.select(*texts.columns, (prior + trust * (F.col("mean") - pivot)).alias("of_node"), (prior + trust * (F.col("measure") - 0.5)).alias("of_text"))
 
