@@ -7,11 +7,11 @@ without a literal token are fetched by every URL. The longest fitting rule wins
 the longer host, then the smaller text, then block before allow).
 
 Up to MAX_BROADCAST_RULES rules the index is a broadcast dictionary and the URLs are never shuffled. Beyond,
-tokens are joined with the index; hot tokens are salted. Both ways give the same rows.
+tokens are joined with the index; hot tokens are salted, and so are hot URLs when results return to their pages. Both ways give the same rows.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and gets the default verdict;
 repeated pages are each judged; empty tables give no rows; an empty rule list gives the default to every
-page; a rule with null host or path is an error; only the id and url columns are read. Ports and user
+page; a rule with null host or path is an error; URLs of any length are judged whole; only the id and url columns are read, so other columns' names do no harm. Ports and user
 names are part of the host, as the contract cuts it.
 """
 
@@ -30,6 +30,8 @@ from tidelane.llm.common import ascii_lower
 
 MAX_BROADCAST_RULES = 200_000
 SALTS = 64
+#: Copies of each judged place that pages of one URL are dealt over.
+PAGE_SALTS = 8
 TOKEN = re.compile(r"[a-z0-9]+")
 DEFAULT_VERDICT = "allow"
 
@@ -140,8 +142,8 @@ def _judge_mapped(urls: DataFrame, index: dict[str, list[Rule]], default: str) -
 def _judge_joined(urls: DataFrame, index: dict[str, list[Rule]], default: str) -> DataFrame:
     """Without a broadcast: distinct (host, path) tokens meet the rules filed under them, salted against hot tokens."""
     spark = urls.sparkSession
-    rows = [(t, s, r.host_pattern, r.path_pattern, -len(r.text), -len(r.host), r.text, r.verdict) for t, rs in index.items() for r in rs for s in range(SALTS)]
-    rules = spark.createDataFrame(rows, "token string, salt int, on_host string, on_path string, o1 int, o2 int, rule string, verdict string")
+    rows = [(t, r.host_pattern, r.path_pattern, -len(r.text), -len(r.host), r.text, r.verdict) for t, rs in index.items() for r in rs]
+    rules = spark.createDataFrame(rows, "token string, on_host string, on_path string, o1 int, o2 int, rule string, verdict string").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     places = urls.select("host", "path").distinct()
     tokens = F.array_union(F.array(F.lit("")), F.split(F.lower(F.concat_ws("/", "host", "path")), "[^a-z0-9]+"))
     met = (
@@ -151,7 +153,9 @@ def _judge_joined(urls: DataFrame, index: dict[str, list[Rule]], default: str) -
         .where(F.expr("host rlike on_host and path rlike on_path"))
     )
     best = met.groupBy("host", "path").agg(F.min(F.struct("o1", "o2", "rule", (F.col("verdict") != "block").alias("o3"), "verdict")).alias("b")).select("host", "path", "b.rule", "b.verdict")
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    spread = urls.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(PAGE_SALTS)).cast("int"))
+    copies = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAGE_SALTS - 1))))
+    return spread.join(copies, ["host", "path", "salt"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
