@@ -237,6 +237,16 @@ def style_counts(pages: DataFrame) -> DataFrame:
     return seen.groupBy("host", "path", "what", "value", "kind").agg(F.max("region").alias("region"), F.max("words").alias("words"), F.count("*").alias("n_pages"), F.sum("first").alias("firsts"))
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Texts and counts dealt out by their value: a host, or a node, may hold a third of all."""
+    return rows.withColumn("salt", F.pmod("value", F.lit(SALTS)).cast("int"))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """What is known of hosts or nodes, once for each salt."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+
+
 def measured(counts: DataFrame) -> DataFrame:
     """(host, path, value, kind, region, m, measure, mass) of every text of every node; mass: its words on all pages."""
     nodes = counts.groupBy("host", "path", "what").agg(F.sum("firsts").alias("m"), F.sum(F.col("n_pages") * F.log("n_pages")).alias("nlogn"))
@@ -244,7 +254,8 @@ def measured(counts: DataFrame) -> DataFrame:
     texts = nodes.where("what = 0").select("host", "path", "m")
     # -sum(p * log_m(p)) with p = n / m, as all of a page's children make one style.
     styles = nodes.where("what = 1").select("host", "path", F.when(many, (F.log(m) - F.col("nlogn") / m) / F.log(m)).otherwise(1.0).alias("shape"))
-    met = counts.where("what = 0").join(texts.hint("merge"), ["host", "path"]).join(styles.hint("merge"), ["host", "path"], "left")
+    about = texts.join(styles.hint("merge"), ["host", "path"], "left")
+    met = _salted(counts.where("what = 0")).join(_copies(about), ["host", "path", "salt"])
     content = F.when(many, 1 - F.log("n_pages") / F.log(m)).otherwise(1.0)
     return met.select("host", "path", "value", "kind", "region", "m", (GAMMA * content + (1 - GAMMA) * F.coalesce("shape", content)).alias("measure"), (F.col("words") * F.col("n_pages")).alias("mass"))
 
@@ -256,7 +267,7 @@ def importance(texts: DataFrame) -> DataFrame:
     rest = texts.where("kind >= 0").groupBy("host").agg(weight.alias("rest"), (weight / F.sum("mass")).alias("level"))
     main = inside.join(rest.hint("merge"), "host", "left").where(F.col("held") >= F.coalesce("rest", F.lit(0.0))).select("host", "region", F.lit(True).alias("main"))
     nodes = texts.groupBy("host", "path").agg((weight / F.sum("mass")).alias("mean"))
-    known = texts.join(nodes.hint("merge"), ["host", "path"]).join(main.hint("merge"), ["host", "region"], "left").join(rest.select("host", "level").hint("merge"), "host", "left")
+    known = _salted(texts).join(_copies(nodes), ["host", "path", "salt"]).join(_copies(main), ["host", "region", "salt"], "left").join(_copies(rest.select("host", "level")), ["host", "salt"], "left")
     prior = F.when((F.col("kind") < 0) & F.col("main").isNull(), PRIOR[-1]).when(F.col("kind") > 0, PRIOR[1]).otherwise(PRIOR[0])
     trust = STEEP * F.when(F.col("m") < FEW, 0.0).otherwise(F.least(F.lit(MOST_TRUST), F.log("m") / F.log(F.lit(float(SURE)))))
     pivot = F.when(F.col("kind") == 0, F.greatest(F.lit(0.5), F.coalesce("level", F.lit(0.5)))).otherwise(0.5)
@@ -317,7 +328,7 @@ def extract(pages: DataFrame, max_model: int = MAX_MODEL, model: DataFrame | Non
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [[]] * 5, types, strict=True)], names=["page", "host", "path", "value", "k"])
 
     keyed = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))  # equal pages lose equal blocks
-    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = _copies(model)
     placed = keyed.select("page", "url", "html").mapInArrow(number, "page long, host string, path long, value long, k int").withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
     by_node = salted.where("value is null").drop("value")
     entries = [placed.join(by_node, ["host", "path", "salt"]), placed.join(salted.where("value is not null"), ["host", "path", "value", "salt"])]
