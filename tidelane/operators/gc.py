@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.sequences import gc_sixths
+from tidelane.operators.parallel import spread
 
 BLOCK = 512
 
@@ -17,7 +18,7 @@ def reference_blocks(sequences: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     pieces = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))  # one pass over the sequence
     ended = F.when(F.length("sequence") % block == 0, F.concat(pieces, F.array(F.lit("")))).otherwise(pieces)
-    return with_running_gc(sequences.where(F.col("sequence").isNotNull()).select("contig", F.posexplode(ended).alias("block_id", "seq")))
+    return with_running_gc(spread(sequences).where(F.col("sequence").isNotNull()).select("contig", F.posexplode(ended).alias("block_id", "seq")))
 
 
 def with_running_gc(blocks: DataFrame) -> DataFrame:

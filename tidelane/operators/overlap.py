@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.functions.intervals import MAX_LENGTH
+from tidelane.operators.parallel import spread
 
 #: Width of the bins that a batch of regions is joined by.
 BIN = 5_000
@@ -51,12 +52,12 @@ def overlap_join(fragments: DataFrame, regions: DataFrame, max_length: int = MAX
     first = lambda c: F.floor(F.greatest(F.col(c), F.lit(0)) / BIN)
     last = lambda stop, start: F.floor(F.greatest(F.col(stop) - 1, F.col(start), F.lit(0)) / BIN)
     r = regions.select("region_id", F.col("contig").alias("r_contig"), "region_start", "region_stop", first("region_start").alias("r_first"), F.explode(F.sequence(first("region_start"), last("region_stop", "region_start"))).alias("r_bin"))
-    f = fragments.where(F.col("length") <= max_length).select("*", first("start").alias("f_first"), F.explode(F.sequence(first("start"), last("stop", "start"))).alias("f_bin"))
+    few = (regions.agg(F.sum(last("region_stop", "region_start") - first("region_start") + 1)).first()[0] or 0) <= max_broadcast
+    f = (spread(fragments) if few else fragments).where(F.col("length") <= max_length).select("*", first("start").alias("f_first"), F.explode(F.sequence(first("start"), last("stop", "start"))).alias("f_bin"))
     fits = (F.col("contig") == F.col("r_contig")) & (F.col("f_bin") == F.col("r_bin")) & (F.col("f_bin") == F.greatest("f_first", "r_first")) & (F.col("start") < F.col("region_stop")) & (F.col("stop") > F.col("region_start"))
     if midpoint:
         middle = F.col("start") - F.col("region_start") + F.floor(F.col("length") / 2)
         fits = fits & (middle >= 0) & (middle < F.col("region_stop") - F.col("region_start"))
-    few = (regions.agg(F.sum(last("region_stop", "region_start") - first("region_start") + 1)).first()[0] or 0) <= max_broadcast
     helpers = ("f_first", "f_bin", "r_first", "r_bin", "r_contig")
     if few:
         return f.join(F.broadcast(r), fits).drop(*helpers)
