@@ -58,7 +58,7 @@ BLOCK = 512
 #: Signatures have about four bits a shingle, within these limits.
 FEWEST_BITS, MOST_BITS = 256, 4096
 #: Rows up to which a tile is joined without signatures, as it makes few pairs for each of its rows; and the bits of those of larger tiles, 64 in a number.
-SIGNED = 16
+SIGNED = 4
 TILE_BITS = 1024
 #: Ids (8 bytes each) that may be broadcast to fetch texts without shuffling all of them.
 MAX_BROADCAST_IDS = 2_000_000
