@@ -281,6 +281,27 @@ def test_languages_on_held_out_rows(spark):
     assert {i for i in range(9_000, 9_004)} & {r["doc_id"] for r in kept.collect()} == set() and kept.count() >= 0.99 * 1_500
 
 
+def test_languages_are_learned_from_every_training_text(spark):
+    rng = np.random.default_rng(12)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    rows = [(k, "".join(rng.choice(list(letters[x]), rng.integers(4, 30))), x) for k in range(32_000) for x in ("cc" if k % 4_000 == 0 else ("aa", "bb")[k % 2],)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8, "doc_id")
+    known = docs.where(~op7_language_id.held_out(F.col("doc_id"))).select("text", "lang").collect()
+    assert op7_language_id.training(docs).count() == len(known) > 22_000
+    profiles, want = op7_language_id.Profiles(), {}
+    for x in letters:
+        want[x] = op7_language_id._unit(op7_language_id._unit(profiles.bundles([r["text"] for r in known if r["lang"] == x])).sum(0, dtype=np.float64))
+    learned = op7_language_id.learn(docs)
+    assert set(learned) == set(want) and all(np.allclose(learned[x], v, atol=1e-6) for x, v in want.items())
+    names, floors = sorted(learned), {}
+    for k, x in enumerate(names):
+        cosine = np.round(op7_language_id._unit(profiles.bundles([r["text"] for r in known if r["lang"] == x])) @ np.stack([learned[y] for y in names]).T, 6)
+        own = cosine[cosine.argmax(1) == k, k].astype(float)
+        floors[x] = max(op7_language_id.MIN_SCORE, op7_language_id.FLOOR_SHARE * float(np.quantile(own, op7_language_id.FLOOR_QUANTILE)))
+    found = op7_language_id.floors(docs, learned)
+    assert found == pytest.approx(floors, abs=1e-6) and max(found.values()) > op7_language_id.MIN_SCORE
+
+
 # 8
 
 

@@ -6,8 +6,9 @@ language's prototype the sum of the unit bundles of its training texts. A text g
 has the largest cosine with its bundle.
 
 Whole texts are read: letters of any script lower-cased, everything else a word boundary. Learning adds up one
-vector per language in each task, so that only languages times dimensions numbers are gathered; it reads at most
-about MAX_TRAINING texts, chosen by a hash of their id, in equal parts by language, so that rare ones are learned too. Scoring has no shuffle. n-gram vectors are rebuilt from
+vector per language in each task, so that only languages times dimensions numbers are gathered. It reads every text
+with a language outside the held-out fold, and so do the floors; a prototype is of unit length however many texts it has, so rare languages are learned like others. (A caller
+may ask for fewer texts by ``max_training``, in equal parts by language; neither the query nor the pipeline does.) Scoring has no shuffle. n-gram vectors are rebuilt from
 their letters when a worker's table is full, so memory is bounded for any script.
 
 Defined cases: a null text, or one without a letter (digits, fractions and marks are none), is ``und`` with score 0; ties between languages go to the
@@ -25,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,6 @@ from tidelane.llm.common import held_out, plain_names, small_batches, stored
 DIMENSIONS = 1024
 ORDER = 3
 SEED = 20_251
-#: Texts that prototypes are learned from, about.
-MAX_TRAINING = 20_000
 #: Languages whose sampling rates are broadcast, not joined by a shuffle.
 MAX_BROADCAST = 10_000
 #: n-grams whose vectors a worker keeps (1 KB each).
@@ -123,9 +122,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def training(docs: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:
-    """(text, lang) of about ``max_training`` documents outside the held-out fold, as many of each language where there are as many."""
+def training(docs: DataFrame, max_training: int | None = None) -> DataFrame:
+    """(text, lang) of the documents outside the held-out fold; of about ``max_training`` of them, if given, as many of each language where there are as many."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    if max_training is None:
+        return known.select("text", "lang")
     counts = stored(known.groupBy("lang").count(), "language-counts")
     n = counts.count()
     share = max(1, max_training // max(1, n))
@@ -133,7 +134,7 @@ def training(docs: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:
     return known.join(F.broadcast(rates) if n <= MAX_BROADCAST else rates, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < F.col("rate")).select("text", "lang")
 
 
-def learn(docs: DataFrame, max_training: int = MAX_TRAINING, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
+def learn(docs: DataFrame, max_training: int | None = None, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """A unit prototype per language, from documents outside the held-out fold."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -179,10 +180,17 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     return plain_names(kept).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], max_training: int = MAX_TRAINING) -> dict[str, float]:
-    """Per language the score below which a text is like none of its training texts: FLOOR_SHARE of their FLOOR_QUANTILE, at least MIN_SCORE."""
+def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], max_training: int | None = None) -> dict[str, float]:
+    """Per language the score below which a text is like none of its training texts: FLOOR_SHARE of their FLOOR_QUANTILE, at least MIN_SCORE.
+
+    The quantile is exact, between the two scores beside it, from counts of equal scores: these have six digits, so at most a million rows a language, whatever the table's size.
+    """
     scored = identify(training(docs, max_training), prototypes).where(F.col("lang") == F.col("lang_pred"))
-    low = scored.groupBy("lang").agg(F.percentile("score", F.lit(FLOOR_QUANTILE)).alias("low"))  # bounded by max_training rows
+    by = Window.partitionBy("lang")
+    counts = scored.groupBy("lang", "score").count().select("lang", "score", F.sum("count").over(by.orderBy("score")).alias("upto"), F.sum("count").over(by).alias("n"))
+    at = F.lit(FLOOR_QUANTILE) * (F.col("n") - 1)
+    beside = counts.groupBy("lang", "n").agg(F.min(F.when(F.col("upto") > F.floor(at), F.col("score"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil(at), F.col("score"))).alias("high"))
+    low = beside.select("lang", (F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at))).alias("low"))
     return {r["lang"]: max(MIN_SCORE, FLOOR_SHARE * r["low"]) for r in low.collect()}
 
 
