@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.common import held_out, plain_names, small_batches, stored
+from tidelane.llm.common import held_out, plain_names, release, small_batches, stored
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -183,15 +183,20 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
 def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], max_training: int | None = None) -> dict[str, float]:
     """Per language the score below which a text is like none of its training texts: FLOOR_SHARE of their FLOOR_QUANTILE, at least MIN_SCORE.
 
-    The quantile is exact, between the two scores beside it, from counts of equal scores: these have six digits, so at most a million rows a language, whatever the table's size.
+    The quantile is exact, between the two scores beside it. Equal scores are counted; sums by thousandths tell which thousandths hold the two, and only
+    those are put in order: scores have six digits, so no task orders more than about 2 000 rows of a language, whatever the table's size.
     """
     scored = identify(training(docs, max_training), prototypes).where(F.col("lang") == F.col("lang_pred"))
-    by = Window.partitionBy("lang")
-    counts = scored.groupBy("lang", "score").count().select("lang", "score", F.sum("count").over(by.orderBy("score")).alias("upto"), F.sum("count").over(by).alias("n"))
-    at = F.lit(FLOOR_QUANTILE) * (F.col("n") - 1)
-    beside = counts.groupBy("lang", "n").agg(F.min(F.when(F.col("upto") > F.floor(at), F.col("score"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil(at), F.col("score"))).alias("high"))
-    low = beside.select("lang", (F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at))).alias("low"))
-    return {r["lang"]: max(MIN_SCORE, FLOOR_SHARE * r["low"]) for r in low.collect()}
+    counts = stored(scored.groupBy("lang", "score").count().withColumn("part", F.floor(F.col("score") * 1000)), "language-scores")
+    by, at = Window.partitionBy("lang"), F.lit(FLOOR_QUANTILE) * (F.col("n") - 1)
+    parts = counts.groupBy("lang", "part").agg(F.sum("count").alias("c")).select("lang", "part", "c", F.sum("c").over(by.orderBy("part")).alias("upto"), F.sum("c").over(by).alias("n"))
+    parts = parts.where((F.col("upto") > F.floor(at)) & (F.col("upto") - F.col("c") <= F.ceil(at))).select("lang", "part", "n", (F.col("upto") - F.col("c")).alias("before"))
+    upto = F.min("before").over(by) + F.sum("count").over(by.orderBy("score"))
+    ranked = counts.join(parts, ["lang", "part"]).select("lang", "n", "score", upto.alias("upto"))
+    beside = ranked.groupBy("lang", "n").agg(F.min(F.when(F.col("upto") > F.floor(at), F.col("score"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil(at), F.col("score"))).alias("high"))
+    low = beside.select("lang", (F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at))).alias("low")).collect()
+    release(counts)
+    return {r["lang"]: max(MIN_SCORE, FLOOR_SHARE * r["low"]) for r in low}
 
 
 def speakable(docs: DataFrame, prototypes: dict[str, np.ndarray], least: dict[str, float] | None = None) -> DataFrame:
