@@ -16,7 +16,7 @@ from tidelane.functions import sequences as S
 from tidelane.functions.fragment import Fragment, checked_strand, unparse
 from tidelane.operators import overlap
 from tidelane.operators.gc import reference_blocks, with_gc
-from tidelane.operators.overlap import overlap_join
+from tidelane.operators.overlap import overlap_join, overlap_totals
 from tidelane.operators.store import FragmentStore
 from tidelane.plans.build import build_store
 from tidelane.sources import binary, text
@@ -206,6 +206,30 @@ def test_overlap_join_equals_loop(spark):
         assert sorted((x["region_id"], x["start"], x["stop"]) for x in overlap_join(frags, regions, max_broadcast=most).collect()) == want
 
 
+def test_overlap_totals_equal_loop(spark, monkeypatch):
+    f = [(c, s, s + n, n) for c in "ab" for s in range(-900, 12_000, 450) for n in (0, 1, 2, 600, 6_001)] + [("a", 5_000, 4_000, -1_000), ("a", None, 10, 10), ("a", 10, None, 10), (None, 1, 9, 8), ("a", 0, 70_000, 70_000)]
+    r = [(i % 12, c, s, e) for i, (c, s, e) in enumerate((c, *x) for c in "abc" for x in [(-5, 1), (0, 0), (450, 450), (700, 700), (4_999, 5_001), (0, 20_000), (5_000, 10_000), (4_500, 4_000), (5_000, 5_000), (-2_000, -899), (0, None)])] + [(None, "a", 0, 900), (99, None, 0, 900)]
+    frags, regions = spark.createDataFrame(f, "contig string, start int, stop int, length int"), spark.createDataFrame(r, "region_id int, contig string, region_start int, region_stop int")
+    for most, mid in ((50_000, False), (3, False), (3, True)):
+        monkeypatch.setattr(overlap, "BIN_ROWS", most)
+        want = {}
+        for i, c, a, b in r:
+            for d, s, e, n in f:
+                if None not in (c, d, a, b, s, e) and c == d and n <= 65_535 and s < b and e > a and (not mid or 0 <= s - a + n // 2 < b - a):
+                    want[i] = [sum(x) for x in zip(want.get(i, (0, 0)), (1, n), strict=True)]
+        got = overlap_totals(frags, regions, midpoint=mid).collect()
+        assert {x["region_id"]: [x["n"], x["bases"]] for x in got} == want and len(got) == len(want)
+
+
+def test_overlap_totals_of_deep_bins_form_no_pairs(spark):
+    """Ten billion pairs in one bin."""
+    one = spark.range(100_000)
+    frags, regions = one.selectExpr("'a' contig", "int(id % 90) start", "int(id % 90 + 50) stop", "50 length"), one.selectExpr("id region_id", "'a' contig", "int(id % 80) region_start", "int(id % 80 + 200) region_stop")
+    got = overlap_totals(frags, regions).agg(F.count("*"), F.sum("n")).first()
+    depth = [sum(len(range(s, 100_000, 90)) for s in range(90) if s + 50 > a) for a in range(80)]
+    assert tuple(got) == (100_000, 1_250 * sum(depth))
+
+
 def test_paired_store(spark, tmp_path):
     rows = pair("r1", 99_110_001, 116) + pair("r1", 99_110_001, 116, extra=1024) + [("s", 99 | 256, "chr6", 5, 60, "16M", "=", 100, 110, "A" * 16, "I" * 16)]
     source = sam(tmp_path / "x.sam", rows)
