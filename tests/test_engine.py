@@ -131,6 +131,19 @@ def test_too_long_rows_count_in_the_skip_ratio(spark, tmp_path):
         text.read_intervals(spark, str(path))
 
 
+def test_interval_lines_are_split_once(spark):
+    cells = ["5", "-5", "+5", " 5 ", "5 ", "\u00a05", "5_0", "_5", "5_", "1__0", "1.5", "1.", "5L", "5d", "1e3", "", "x", "+", "-", "0x5", "\x015", "5\x01", "5\n", "9" * 18, "9" * 19, "+-5", "\u0665", "5\u2028"]
+    made = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "ord long, c string").withColumn("value", F.when(F.col("ord") >= 0, F.concat(F.lit("q\t0\t"), "c")))
+    rows = text.marked_intervals(made.select("ord", "value"), 3)
+    want = F.when(F.col("c").rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.regexp_replace(F.trim("c"), "[+_]", "").try_cast("long"))
+    want = {r["ord"]: r["n"] is None or r["n"] <= 0 for r in made.select("ord", want.alias("n")).collect()}
+    assert {r["ord"]: r["skipped"] for r in rows.collect()} == want
+    other = spark.createDataFrame([(0, "#x"), (1, ""), (2, None), (3, "#\t1\t2"), (4, "\t1\t2"), (5, "q\t\t2")], "ord long, value string")
+    assert sorted((r["ord"], r["contig"], r["skipped"]) for r in text.marked_intervals(other, 3).collect()) == [(4, "", False), (5, "q", True)]
+    plan = text.parse_intervals(made.select("ord", "value"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("q\t0\t") == 1
+
+
 def test_gc_outside_its_range_is_an_error(spark):
     assert one(spark, I.checked_gc(F.lit(1.0))) == 1.0 and one(spark, I.checked_gc(F.lit(None).cast("double"))) is None
     with pytest.raises(PySparkException):

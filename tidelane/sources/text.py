@@ -15,16 +15,29 @@ def is_fragment_file(path: str) -> bool:
     return path.endswith((".tsv.gz", ".bed.gz"))
 
 
+def split_lines(lines: DataFrame) -> DataFrame:
+    """(ord, p): the columns p of each line (value, ord). Filters on what a generator makes stay above it, so that no line is made or split anew for each use of a column."""
+    return lines.select("ord", F.explode(F.array(F.split("value", "\t"))).alias("p"))
+
+
+def _number(c: Column) -> Column:
+    """An integer as Python reads it, or null: signs and digits by the cast alone, all other texts by a pattern."""
+    plain = c.try_cast("long")
+    other = F.when(c.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.regexp_replace(F.trim(c), "[+_]", "").try_cast("long"))
+    return F.when(plain.isNotNull() & F.ascii(c).between(43, 57) & F.ascii(F.substring(c, -1, 1)).between(48, 57), plain).otherwise(other)
+
+
 def marked_intervals(lines: DataFrame, width: int, max_length: int = MAX_LENGTH) -> DataFrame:
     """(contig, start, stop, length, cell_barcode, strand, skipped, too_long, ord) of the lines (value, ord) of a file of ``width`` columns.
 
     ``skipped`` marks rows of another width or under three columns, with coordinates that are no integers, negative or
     empty. Comments are no rows.
     """
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select("ord", F.split("value", "\t").alias("p"))
     part = lambda k: F.try_element_at("p", F.lit(k + 1))
-    number = lambda c: F.when(c.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.regexp_replace(F.trim(c), "[+_]", "").try_cast("long"))
-    cut = rows.select("ord", F.size("p").alias("n"), part(0).alias("contig"), number(part(1)).alias("start"), number(part(2)).alias("stop"), F.nullif(part(3), F.lit("")).alias("cell_barcode"), F.when(part(5).isin("+", "-"), part(5)).alias("strand"))
+    cell = lambda k: F.when(part(k) != "", part(k))
+    rows = split_lines(lines).where(~part(0).startswith("#") & ((F.size("p") > 1) | (part(0) != "")))
+    fields = {"n": F.size("p"), "contig": part(0), "start": _number(part(1)), "stop": _number(part(2)), "cell_barcode": cell(3), "strand": F.when(part(5).isin("+", "-"), part(5))}
+    cut = rows.select("ord", F.inline(F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))))
     bad = (F.col("n") < 3) | (F.col("n") != width) | F.col("start").isNull() | F.col("stop").isNull() | (F.col("start") < 0) | (F.col("stop") <= F.col("start"))
     marked = cut.withColumn("skipped", F.coalesce(bad, F.lit(True))).withColumn("length", F.col("stop") - F.col("start"))
     too_long: Column = ~F.col("skipped") & (F.col("length") > max_length)
