@@ -144,6 +144,19 @@ def test_interval_lines_are_split_once(spark):
     assert plan.count("split(") == 1 and plan.count("q\t0\t") == 1
 
 
+def test_sam_lines_are_split_once(spark):
+    head = "r\t0\tMC:Z:c\t7\t9\t{}\t=\t1\t3\tMQ:i:8\tYM:Z:no"
+    tails = ["", "\tMQ:i:5", "\tXMQ:i:5", "\tMQ:1:6\tMQ:i:5\tMQ:i:4", "\tMQ:i:", "\tMC:Z:10M\tYM:Z:a:b", "\t\tCB:Z:x y\t", "\tMQ::5", "\tZZ:Z:MQ:i:5"]
+    want = [(None, None, None, None), (5, None, None, None), (None, None, None, None), (5, None, None, None), (None, None, None, None), (None, "10M", None, "a:b"), (None, None, "x y", None), (None, None, None, None), (None, None, None, None)]
+    lines = [(k, head.format("5M2D3S1N") + t) for k, t in enumerate(tails)] + [(50, "@SQ\tSN:a"), (51, ""), (52, None), (53, "@"), (54, head.format("*"))]
+    made = spark.createDataFrame(lines, "ord long, value string").withColumn("value", F.concat("value", F.lit("")))
+    rows = text.parse_sam(made)
+    got = rows.where("flag = 0").orderBy("ord").collect()
+    assert [(r["mq"], r["mc"], r["cb"], r["ym"]) for r in got] == [*want, want[0]] and [r["ref_end"] for r in got] == [14] * len(tails) + [6]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("concat(value") == 1
+
+
 def test_gc_outside_its_range_is_an_error(spark):
     assert one(spark, I.checked_gc(F.lit(1.0))) == 1.0 and one(spark, I.checked_gc(F.lit(None).cast("double"))) is None
     with pytest.raises(PySparkException):

@@ -38,7 +38,7 @@ def known_mapq(mapq: Column, to_null: bool) -> Column:
 
 def reference_span(cigar: Column) -> Column:
     """Reference bases that a CIGAR covers: its M, D, N, = and X operations."""
-    return F.aggregate(F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), F.lit(1)), lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
 def extent_start(pos: Column, end: Column, tlen: Column) -> Column:

@@ -80,11 +80,12 @@ def read_intervals(spark: SparkSession, path: str, max_length: int = MAX_LENGTH)
 
 def parse_sam(lines: DataFrame) -> DataFrame:
     """Alignments of SAM lines (value, ord): rname, pos (from 0), ref_end, tlen, mapq, flag, cigar, qname, mq, mc, cb, ym, ord."""
-    record = ~F.col("value").startswith("@") & (F.col("value") != "")
+    part = lambda k: F.get("p", F.lit(k))
+    record = ~part(0).startswith("@") & ((F.size("p") > 1) | (part(0) != ""))
     # Null on header lines, as the optimizer may evaluate later filters before the one on the line's kind.
-    rows = lines.where(record).select("ord", F.when(record, F.split("value", "\t")).alias("p"))
-    tag = lambda name: F.nullif(F.regexp_extract(F.array_join(F.slice("p", 12, F.size("p")), "\t"), rf"(?:^|\t){name}:[A-Za-z]:([^\t]*)", 1), F.lit(""))
-    cut = rows.select("ord", *[F.get("p", F.lit(k)).alias(n) for k, n in ((0, "qname"), (2, "rname"), (5, "cigar"))], *[F.get("p", F.lit(k)).cast("int").alias(n) for k, n in ((1, "flag"), (4, "mapq"), (8, "tlen"))], (F.get("p", F.lit(3)).cast("int") - 1).alias("pos"), tag("MQ").cast("int").alias("mq"), tag("MC").alias("mc"), tag("CB").alias("cb"), tag("YM").alias("ym"))
+    rows = split_lines(lines).where(record).select("ord", F.when(record, F.col("p")).alias("p")).withColumn("tags", F.concat(F.lit("\t"), F.array_join(F.slice("p", 12, F.size("p")), "\t")))
+    tag = lambda name: F.nullif(F.when(F.col("tags").contains(f"\t{name}:"), F.regexp_extract("tags", rf"\t{name}:[A-Za-z]:([^\t]*)", 1)), F.lit(""))
+    cut = rows.select("ord", *[part(k).alias(n) for k, n in ((0, "qname"), (2, "rname"), (5, "cigar"))], *[part(k).cast("int").alias(n) for k, n in ((1, "flag"), (4, "mapq"), (8, "tlen"))], (part(3).cast("int") - 1).alias("pos"), tag("MQ").cast("int").alias("mq"), tag("MC").alias("mc"), tag("CB").alias("cb"), tag("YM").alias("ym"))
     return cut.withColumn("ref_end", (F.col("pos") + reference_span(F.col("cigar"))).cast("int"))
 
 
